@@ -56,21 +56,16 @@ class Merger:
 
     def parts(self, text: str) -> list[str]:
         out = [self.letters[b] for b in text.encode("utf-8", "replace")]
-        rank = self.rank.get
-        while len(out) > 1:
-            best, at = min((rank((out[i], out[i + 1]), 1 << 60), i) for i in range(len(out) - 1))
-            if best == 1 << 60:
-                break
-            a, b = out[at], out[at + 1]
-            new, i = [], 0
-            while i < len(out):  # all places of this pair, from the left
-                if i + 1 < len(out) and out[i] == a and out[i + 1] == b:
-                    new.append(a + b)
-                    i += 2
-                else:
-                    new.append(out[i])
-                    i += 1
-            out = new
+        get, none = self.rank.get, 1 << 60
+        ranks = [get(p, none) for p in zip(out, out[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            out[i : i + 2] = [out[i] + out[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((out[i], out[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((out[i - 1], out[i]), none)
         return out
 
     def tracker(self) -> Backtracker:
