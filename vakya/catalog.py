@@ -1,9 +1,145 @@
-"""Queries over the reference operators, and their SQL."""
+"""Queries over the treebank operators, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .operators import cascade, metrics, scorers, variants
+from .sources.treebank import SQL, treebank
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.classify(treebank(spark, sf_dir))
+
+
+def filter_passed(spark, sf_dir):
+    return cascade.rendered(cascade.passed_features(_classified(spark, sf_dir)))
+
+
+def filter_rejected(spark, sf_dir):
+    return cascade.rejected(_classified(spark, sf_dir))
+
+
+def filter_counts(spark, sf_dir):
+    return cascade.filter_counts(_classified(spark, sf_dir))
+
+
+def filter_summary(spark, sf_dir):
+    return cascade.summary(_classified(spark, sf_dir))
+
+
+def phrase_histogram(spark, sf_dir):
+    return _classified(spark, sf_dir).where("stage is null").groupBy(F.size("constituents").alias("phrases")).agg(F.count("*").alias("n"))
+
+
+def licensed_bigrams(spark, sf_dir):
+    return variants.licensed_pairs(_classified(spark, sf_dir).where("stage is null"))
+
+
+def _variants(spark, sf_dir):
+    passed = _classified(spark, sf_dir).where("stage is null")
+    # The tag set bounds the licence: a few relations squared.
+    licence = sorted(f"{r['a']}\t{r['b']}" for r in variants.licensed_pairs(passed).collect())
+    return variants.labelled(variants.generate(passed.where("size(constituents) <= 4"), licence))
+
+
+def variant_pairs(spark, sf_dir):
+    return _variants(spark, sf_dir).select("Sent_ID", "Variant_ID", "ML_Label", "Reference_Sentence", "Variant_Sentence")
+
+
+def score_dependency_length(spark, sf_dir):
+    v = scorers.dependency_length(_variants(spark, sf_dir))
+    text = "array_join(transform({0}, x -> cast(x as string)), ',')"
+    return v.select("Sent_ID", "Variant_ID", F.expr(text.format("Ref_Features")).alias("Ref_Features"), F.expr(text.format("Var_Features")).alias("Var_Features"), "Delta_DL")
+
+
+def score_information_status(spark, sf_dir):
+    return scorers.information_status(_variants(spark, sf_dir), treebank(spark, sf_dir)).select("Sent_ID", "Variant_ID", "IS_Reference", "IS_Variant", "Delta_IS")
+
+
+def relation_frequency(spark, sf_dir):
+    t = treebank(spark, sf_dir).select(F.explode("tokens").alias("t")).select("t.upos", "t.deprel")
+    return metrics.relative_frequency(t, "upos", "deprel").withColumn("p", F.round("p", 9))
+
+
+def event_frequency(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return metrics.relative_frequency(e.withColumn("u", F.col("user_id") % 10), "u", "event_type").withColumn("p", F.round("p", 9))
+
+
+def label_precision(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    cells = {"tp": "toxic = 1 and quality = 1", "fp": "toxic = 0 and quality = 1", "fn": "toxic = 1 and quality = 0"}
+    c = labels.agg(*[F.count(F.expr(f"if({test}, 1, null)")).alias(name) for name, test in cells.items()])
+    return metrics.precision_recall(c).select("tp", "fp", "fn", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f1")])
+
+
+def language_v_measure(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return metrics.v_measure(d, "lang", "source").select(*[F.round(x, 9).alias(x) for x in ("homogeneity", "completeness", "v_measure")])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (filter_passed, filter_rejected, filter_counts, filter_summary, phrase_histogram, licensed_bigrams, variant_pairs, score_dependency_length,
+           score_information_status, relation_frequency, event_frequency, label_precision, language_v_measure)
+    return {f.__name__: f for f in own}
+
+
+_CLASSES = SQL + r""",
+root as (select sent_id, min(i) as root_id, min_by(upos, i) as root_pos from tok where head = 0 group by sent_id),
+arc as (select sent_id, least(id, head) as lo, greatest(id, head) as hi from tok where id is not null and head <> 0),
+crossed as (select distinct a.sent_id from arc a join arc b on a.sent_id = b.sent_id and a.lo < b.lo and b.lo < a.hi and a.hi < b.hi),
+chunk as (select t.sent_id, t.i as c, t.deprel, t.upos from tok t join root r using (sent_id) where t.head = r.root_id and t.i < r.root_id),
+mem as (select t.sent_id, t.i, t.form, t.lemma, t.upos, t.head, case when t.head = r.root_id then t.i else t.head end as c
+    from tok t join root r using (sent_id) where t.i < r.root_id),
+cnt as (select sent_id, count(*) as m, bool_or(deprel = 'punct') as punct from chunk group by sent_id),
+cls as (select sent_id, any_value(doc_id) as doc_id, any_value(k) as k, any_value(text) as text, any_value(n) as n,
+    case when bool_or(upos = 'WQ') then 1 when bool_or(upos = 'NEG') then 2 when bool_or(id is null) then 3
+        when any_value(x.sent_id) is not null then 4 when any_value(root_id) is null or any_value(root_pos) <> 'VM' then 5
+        when coalesce(any_value(punct), false) then 6 when coalesce(any_value(m), 0) < 2 then 7 end as stage,
+    any_value(root_id) as root_id, any_value(root_pos) as root_pos, any_value(m) as m
+    from tok left join crossed x using (sent_id) left join root using (sent_id) left join cnt using (sent_id) group by sent_id)
+"""
+_NAMES = "(values (1, 'Question'), (2, 'Negative Sentence'), (3, 'Ghost IDs'), (4, 'Non-Projective Tree'), (5, 'Bad Root'), (6, 'Punctuation Constituent'), (7, 'Fewer than')) v(stage, filter)"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "filter_passed": _CLASSES + r""", part as (select sent_id, c, count(*) as len from mem join cls using (sent_id) where stage is null group by sent_id, c),
+            lst as (select p.sent_id, list(len order by c) as lens, list(deprel order by c) as ds from part p join chunk using (sent_id, c) group by p.sent_id)
+            select sent_id as Sent_ID, text as Sentence, root_id as Root_ID, m as Phrase_Count, length(text) as Character_Length, n as Sentence_Length,
+                '[' || array_to_string(lens, ', ') || ']' as Constituent_Lengths, '[''' || array_to_string(ds, ''', ''') || ''']' as Deprel_Tags,
+                '[' || array_to_string(list_transform(range(1, len(ds)), lambda i: '(''' || ds[i] || ''', ''' || ds[i + 1] || ''')'), ', ') || ']' as Grammatical_Pairs
+            from cls join lst using (sent_id) where stage is null""",
+        "filter_rejected": _CLASSES + f""" select sent_id as Sent_ID, text as Sentence, case when stage = 5 then case when root_id is null then 'Bad Root: No root token found'
+            else 'Bad Root: Root POS is ''' || root_pos || ''', expected VERB/AUX/VM/VAUX' end when stage = 7 then 'Fewer than 2 preverbal phrases' else filter end as Reason, stage
+            from cls join {_NAMES} using (stage)""",
+        "filter_counts": _CLASSES + f" select stage, filter, coalesce(c, 0) as rejected from {_NAMES} left join (select stage, count(*) as c from cls where stage is not null group by stage) using (stage)",
+        "filter_summary": _CLASSES + """ select count(*) as total_input, count(*) filter (stage is null) as total_passed, count(stage) as total_rejected,
+            round(count(*) filter (stage is null) / count(*), 4) as pass_rate, round(avg(n) filter (stage is null), 2) as avg_sentence_length, round(avg(m) filter (stage is null), 2) as avg_phrase_count from cls""",
+        "phrase_histogram": _CLASSES + " select m as phrases, count(*) as n from cls where stage is null group by m",
+        "licensed_bigrams": _CLASSES + """ select distinct a, b from (select deprel as a, lead(deprel) over (partition by sent_id order by c) as b from chunk join cls using (sent_id) where stage is null) where b is not null""",
+        "relation_frequency": SQL + " select upos as cond, deprel as value, count(*) as n, round(count(*) / sum(count(*)) over (partition by upos), 9) as p from tok group by upos, deprel",
+        "event_frequency": "select user_id % 10 as cond, event_type as value, count(*) as n, round(count(*) / sum(count(*)) over (partition by user_id % 10), 9) as p from events group by 1, 2",
+        "label_precision": """with c as (select count(*) filter (toxic = 1 and quality = 1) as tp, count(*) filter (toxic = 0 and quality = 1) as fp, count(*) filter (toxic = 1 and quality = 0) as fn from labels)
+            select tp, fp, fn, round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else tp / (tp + fp) end, 9) as precision,
+            round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else tp / (tp + fn) end, 9) as recall, round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 9) as f1 from c""",
+        "variant_pairs": _variant_sql() + """ select sent_id as Sent_ID, sent_id || '_v' || v as Variant_ID, row_number() over (partition by doc_id order by k, v) % 2 as ML_Label,
+            text as Reference_Sentence, surface as Variant_Sentence from var""",
+    }
+
+
+def _variant_sql() -> str:
+    """Orders of up to four constituents by a recursive query, pruned by the licensed pairs."""
+    return _CLASSES.replace("\nwith ", "\nwith recursive ", 1) + """,
+    lic as (select distinct a || chr(9) || b as p from (select deprel as a, lead(deprel) over (partition by sent_id order by c) as b from chunk join cls using (sent_id) where stage is null) where b is not null),
+    blk as (select m.sent_id, m.c, row_number() over (partition by m.sent_id order by m.c) - 1 as x, string_agg(m.form, ' ' order by m.i) as words, any_value(ch.deprel) as d
+        from mem m join chunk ch using (sent_id, c) join cls using (sent_id) where stage is null and m <= 4 group by m.sent_id, m.c),
+    perm as (select sent_id, [x] as p, d as last, words as s from blk
+        union all select perm.sent_id, list_append(p, x), d, s || ' ' || words from perm join blk on blk.sent_id = perm.sent_id and not list_contains(p, x) join lic on lic.p = last || chr(9) || d),
+    tail as (select t.sent_id, string_agg(t.form, ' ' order by t.i) as s from tok t join cls using (sent_id) where stage is null and t.i >= root_id group by t.sent_id),
+    var as (select cls.doc_id, cls.k, cls.sent_id, cls.text, perm.s || ' ' || tail.s as surface, row_number() over (partition by cls.sent_id order by perm.p) as v
+        from perm join cls using (sent_id) join tail using (sent_id) where len(p) = cls.m and p <> range(0, cls.m))"""
