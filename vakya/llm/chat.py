@@ -48,9 +48,12 @@ def visit_parts(parts: Column) -> Column:
             .otherwise(F.raise_error(F.concat(F.lit("unknown part kind "), p["kind"])).cast("string"))
         )
 
+    def tokens(kind: str) -> Column:
+        return F.size(F.filter(attached, lambda p: p["kind"] == kind)) * PART_TOKENS[kind]
+
     cost = F.lit(0)
-    for kind, tokens in PART_TOKENS.items():
-        cost = cost + F.size(F.filter(attached, lambda p, kind=kind: p["kind"] == kind)) * tokens
+    for kind in PART_TOKENS:
+        cost = cost + tokens(kind)
     return F.struct(
         F.array_join(F.transform(clean, shown), "").alias("text"),
         F.transform(attached, lambda p, i: F.struct(i.alias("n"), p["kind"].alias("kind"), p["ref"].alias("ref"))).alias("attachments"),

@@ -119,6 +119,8 @@ class PieceModel:
         tokens = sorted(score, key=lambda p: (len(p) > 1, -score[p]))
         number = {p: k for k, p in enumerate(tokens)}
         self.runs = {1: number.get(SPACE, -1)} | {len(p): len(tokens) + i for i, p in enumerate(sorted(runs))}
+        self.score = score
+
         def join(a: int, b: int) -> int | None:
             return number.get(tokens[a] + tokens[b])
 
