@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..plans.barrier import settled
 from .cascade import bigrams, deprels
@@ -34,11 +38,6 @@ def _sampled(labels: list[str], licence: set[str] | None, seed: int, sent_id: st
 
 def permutations(passed: DataFrame, licence: list[str] | None, seed: int = 42) -> DataFrame:
     """Add perms: all orders but the given one, in index order, whose adjacent pairs are licensed."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     d = settled(passed, _d=deprels())
     if licence is None:
         step = "filter(sequence(0, n - 1), x -> not array_contains(p, x))"
