@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ COMMON = 0.02
 COSINE, SUBSEQUENCE, ANSWER, ANSWER_WORDS = 0.35, 0.6, 0.6, 6
 #: Items are searched in blocks of so many, each with a space of its own.
 ITEMS = 20_000
+#: Texts are worked on together up to so many characters; a longer one is worked on alone.
+TOGETHER = 1 << 19
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -56,6 +59,20 @@ class Space:
     vectors: np.ndarray | None = None
 
 
+def _together(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of batches with bounded text, and that text."""
+    for b in batches:
+        start, size, texts = 0, 0, []
+        for i, t in enumerate(b.column(column)):
+            texts.append(t.as_py())
+            size += len(texts[-1] or "")
+            if size >= TOGETHER:
+                yield b.slice(start, i + 1 - start), texts
+                start, size, texts = i + 1, 0, []
+        if texts:
+            yield b.slice(start), texts
+
+
 def _halves(texts: list[str | None], space: Space) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; number and half of every word that counts; first half of each text."""
     get, all_words, numbers, halves, first, n = space.number.get, [], [], [], [], 0
@@ -63,7 +80,7 @@ def _halves(texts: list[str | None], space: Space) -> tuple[list[list[bytes]], n
         ws = words(t)
         all_words.append(ws)
         first.append(n)
-        k = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
+        k = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
         at = np.flatnonzero(k >= 0)
         numbers.append(k[at])
         halves.append(at // HALF + n)
@@ -95,8 +112,8 @@ def weigh(docs: DataFrame, space: Space) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(size, np.int64), 0
-        for b in batches:
-            ws, numbers, halves, _ = _halves(b.column(0).to_pylist(), space)
+        for _, texts in _together(batches, 0):
+            ws, numbers, halves, _ = _halves(texts, space)
             pairs = np.unique(np.concatenate([halves * size + numbers, np.maximum(halves - 1, 0) * size + numbers]))
             df += np.bincount(pairs % size, minlength=size)
             total += sum(-(-len(w) // HALF) for w in ws)
@@ -142,16 +159,16 @@ def fit(docs: DataFrame, space: Space, seed: int = 42) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, rank))
-        for b in batches:
-            _, numbers, halves, first = _halves(b.column(0).to_pylist(), counted)
+        for _, texts in _together(batches, 0):
+            _, numbers, halves, first = _halves(texts, counted)
             sketch(numbers, halves, int(first[-1]), out)
         yield rows(out)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, rank))
         for b in batches:
-            k = b.column(0).to_numpy()
-            np.add.at(out, k, np.array([np.frombuffer(x.as_py(), np.float64) for x in b.column(1)]).reshape(-1, rank))
+            for k, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                out[k] += np.frombuffer(part.as_py(), np.float64)
         yield rows(out)
 
     y = np.zeros((size, rank))
@@ -193,9 +210,9 @@ def _search(docs: DataFrame, space: Space, cosine: float, subsequence: float, an
     bare = [i for i in range(len(space.items)) if not vectors[i].any()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, texts in _together(batches, 1):
             keys = b.column(0).to_pylist()
-            all_words, numbers, halves, first = _halves(b.column(1).to_pylist(), counted)
+            all_words, numbers, halves, first = _halves(texts, counted)
             p = _passages(numbers, halves, int(first[-1]), counted.idf, space.vectors)
             live = np.flatnonzero(p.any(1))
             pairs = set()
