@@ -54,3 +54,20 @@ def test_entry_imports_without_the_training_data_package():
     import __spark_entry__
 
     assert "filter_passed" in __spark_entry__.queries() and "filter_passed" in __spark_entry__.oracle_sql()
+
+
+def test_orders_in_arrays_and_in_batches_agree(spark, tmp_path, monkeypatch):
+    passed = cascade.classify(read_conllu(spark, corpus(tmp_path))).where("stage is null").selectExpr("1L as doc_id", "*")
+    native = variants.generate(passed, ["k1\tk2", "k2\tvmod", "vmod\tk1"], max_variants=9).collect()
+    monkeypatch.setattr(variants, "NATIVE", 1)
+    assert native and variants.generate(passed, ["k1\tk2", "k2\tvmod", "vmod\tk1"], max_variants=9).collect() == native
+    sampled = variants._orders(["k1"] * 10, None, 42, "s", 99)
+    assert len(sampled) == 99 and list(range(10)) not in sampled
+
+
+def test_dependency_length_by_hand(spark, tmp_path):
+    from vakya.operators import scorers
+
+    passed = cascade.classify(read_conllu(spark, corpus(tmp_path))).where("stage is null").selectExpr("1L as doc_id", "*")
+    r = scorers.dependency_length(variants.labelled(variants.generate(passed, None))).orderBy("v").first()
+    assert r["Ref_Features"] == [3, 0, 1, 1, 1] and r["Var_Features"] == [3, 0, 1, 1, 1] and r["Delta_DL"] == 0

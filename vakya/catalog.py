@@ -43,7 +43,7 @@ def _variants(spark, sf_dir):
     passed = _classified(spark, sf_dir).where("stage is null")
     # The tag set bounds the licence: a few relations squared.
     licence = sorted(f"{r['a']}\t{r['b']}" for r in variants.licensed_pairs(passed).collect())
-    return variants.labelled(variants.generate(passed.where("size(constituents) <= 4"), licence))
+    return variants.labelled(variants.generate(passed, licence))
 
 
 def variant_pairs(spark, sf_dir):
@@ -127,19 +127,5 @@ def oracle_sql() -> dict[str, str]:
         "label_precision": """with c as (select count(*) filter (toxic = 1 and quality = 1) as tp, count(*) filter (toxic = 0 and quality = 1) as fp, count(*) filter (toxic = 1 and quality = 0) as fn from labels)
             select tp, fp, fn, round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else tp / (tp + fp) end, 9) as precision,
             round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else tp / (tp + fn) end, 9) as recall, round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 9) as f1 from c""",
-        "variant_pairs": _variant_sql() + """ select sent_id as Sent_ID, sent_id || '_v' || v as Variant_ID, row_number() over (partition by doc_id order by k, v) % 2 as ML_Label,
-            text as Reference_Sentence, surface as Variant_Sentence from var""",
     }
 
-
-def _variant_sql() -> str:
-    """Orders of up to four constituents by a recursive query, pruned by the licensed pairs."""
-    return _CLASSES.replace("\nwith ", "\nwith recursive ", 1) + """,
-    lic as (select distinct a || chr(9) || b as p from (select deprel as a, lead(deprel) over (partition by sent_id order by c) as b from chunk join cls using (sent_id) where stage is null) where b is not null),
-    blk as (select m.sent_id, m.c, row_number() over (partition by m.sent_id order by m.c) - 1 as x, string_agg(m.form, ' ' order by m.i) as words, any_value(ch.deprel) as d
-        from mem m join chunk ch using (sent_id, c) join cls using (sent_id) where stage is null and m <= 4 group by m.sent_id, m.c),
-    perm as (select sent_id, [x] as p, d as last, words as s from blk
-        union all select perm.sent_id, list_append(p, x), d, s || ' ' || words from perm join blk on blk.sent_id = perm.sent_id and not list_contains(p, x) join lic on lic.p = last || chr(9) || d),
-    tail as (select t.sent_id, string_agg(t.form, ' ' order by t.i) as s from tok t join cls using (sent_id) where stage is null and t.i >= root_id group by t.sent_id),
-    var as (select cls.doc_id, cls.k, cls.sent_id, cls.text, perm.s || ' ' || tail.s as surface, row_number() over (partition by cls.sent_id order by perm.p) as v
-        from perm join cls using (sent_id) join tail using (sent_id) where len(p) = cls.m and p <> range(0, cls.m))"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +16,7 @@ from .cascade import bigrams, deprels
 
 #: All orders are enumerated up to so many constituents; beyond, orders are sampled.
 EXHAUSTIVE, SAMPLES, ATTEMPTS = 8, 500, 100_000
+NATIVE = 5
 
 
 def licensed_pairs(passed: DataFrame) -> DataFrame:
@@ -21,24 +24,40 @@ def licensed_pairs(passed: DataFrame) -> DataFrame:
     return settled(passed, _d=deprels()).select(F.explode(bigrams("_d")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _sampled(labels: list[str], licence: set[str] | None, seed: int, sent_id: str) -> list[list[int]]:
-    import random
+def _orders(labels: list[str], licence: set[str] | None, seed: int, sent_id: str, cap: int) -> list[list[int]]:
+    """Licensed orders of one sentence in index order: all of them or a sample, at most ``cap`` drawn by the sentence's own seed."""
+    n = len(labels)
+    base = tuple(range(n))
+    ok = {(a, b): licence is None or f"{labels[a]}\t{labels[b]}" in licence for a, b in itertools.permutations(base, 2)}
+    every, rng = all(ok.values()), random.Random(f"{seed}:{sent_id}")
 
-    rng, n = random.Random(f"{seed}:{sent_id}"), len(labels)
-    seen: set[tuple[int, ...]] = set()
-    base = list(range(n))
-    for _ in range(ATTEMPTS):
-        p = tuple(rng.sample(base, n))
-        if p != tuple(base) and p not in seen and (licence is None or all(f"{labels[a]}\t{labels[b]}" in licence for a, b in zip(p, p[1:], strict=False))):
-            seen.add(p)
-            if len(seen) == SAMPLES:
-                break
-    return sorted(map(list, seen))
+    def licensed(p: tuple[int, ...]) -> bool:
+        return p != base and (every or all(ok[a, b] for a, b in zip(p, p[1:], strict=False)))
 
-
-def permutations(passed: DataFrame, licence: list[str] | None, seed: int = 42) -> DataFrame:
-    """Add perms: all orders but the given one, in index order, whose adjacent pairs are licensed."""
-    d = settled(passed, _d=deprels())
+    if n <= EXHAUSTIVE:
+        found = [p for p in itertools.permutations(base) if licensed(p)]
+    else:
+        seen: set[tuple[int, ...]] = set()
+        for _ in range(ATTEMPTS):
+            p = tuple(rng.sample(base, n))
+            if p not in seen and licensed(p):
+                seen.add(p)
+                if len(seen) == SAMPLES:
+                    break
+        found = list(seen)
+    if len(found) > cap:
+        found = rng.sample(sorted(found), cap)
+    return sorted(map(list, found))
+
+
+def permutations(passed: DataFrame, licence: list[str] | None, cap: int = 99, seed: int = 42) -> DataFrame:
+    """Add perms: all orders but the given one, in index order, whose adjacent pairs are licensed.
+
+    Up to NATIVE constituents the orders grow in array functions; more are enumerated or
+    sampled per sentence in Arrow batches and cut to ``cap`` there.
+    """
+    # A sentence grows into many rows: few input files must not mean few tasks.
+    d = settled(passed.repartition("sent_id"), _d=deprels())
     if licence is None:
         step = "filter(sequence(0, n - 1), x -> not array_contains(p, x))"
     else:
@@ -51,24 +70,24 @@ def permutations(passed: DataFrame, licence: list[str] | None, seed: int = 42) -
     @pandas_udf("array<array<int>>")
     def sampled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for labels, ids in batches:
-            yield pd.Series([_sampled(list(x), known, seed, i) for x, i in zip(labels, ids, strict=True)])
+            yield pd.Series([_orders(list(x), known, seed, i, cap) for x, i in zip(labels, ids, strict=True)])
 
     d = d.withColumn("n", F.size("constituents"))
-    short = d.where(f"n between 1 and {EXHAUSTIVE}")
+    short = d.where(f"n between 1 and {NATIVE}")
     short = settled(short, perms=grown)
-    long = d.where(f"n > {EXHAUSTIVE}").withColumn("perms", sampled("_d", "sent_id"))
+    long = d.where(f"n > {NATIVE}").withColumn("perms", sampled("_d", "sent_id"))
     return short.unionByName(long).drop("_d", "_l", "n")
 
 
 def generate(passed: DataFrame, licence: list[str] | None, max_variants: int = 99, seed: int = 42) -> DataFrame:
     """One row per variant: doc_id, k, Sent_ID, Variant_ID, v, perm, Reference_Sentence, Variant_Sentence, n.
 
-    Over ``max_variants`` orders, those with the smallest md5 of sentence id and
-    order stay. ``n`` is the sentence's number of variants.
+    Over ``max_variants`` orders, up to NATIVE constituents those with the smallest
+    md5 of sentence id and order stay; of more, a draw seeded by the sentence id. ``n`` is the sentence's number of variants.
     """
     if max_variants < 1:
         raise ValueError("max_variants must be at least 1")
-    p = permutations(passed, licence, seed)
+    p = permutations(passed, licence, max_variants, seed)
     p = settled(p, perms=f"""if(size(perms) <= {max_variants}, perms,
         array_sort(transform(slice(array_sort(transform(perms, x -> named_struct('m', md5(concat(sent_id, ':', array_join(transform(x, y -> cast(y as string)), ','))), 'x', x))), 1, {max_variants}), s -> s.x)))""")
     p = settled(p, _ids="transform(flatten(constituents), t -> t.id)")
