@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import trees_catalog
 from .operators import cascade, metrics, scorers, variants
 from .sources.treebank import SQL, treebank
 
@@ -85,7 +86,7 @@ def language_v_measure(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (filter_passed, filter_rejected, filter_counts, filter_summary, phrase_histogram, licensed_bigrams, variant_pairs, score_dependency_length,
            score_information_status, relation_frequency, event_frequency, label_precision, language_v_measure)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | trees_catalog.queries()
 
 
 _CLASSES = SQL + r""",
@@ -107,7 +108,7 @@ _NAMES = "(values (1, 'Question'), (2, 'Negative Sentence'), (3, 'Ghost IDs'), (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return trees_catalog.oracle_sql() | {
         "filter_passed": _CLASSES + r""", part as (select sent_id, c, count(*) as len from mem join cls using (sent_id) where stage is null group by sent_id, c),
             lst as (select p.sent_id, list(len order by c) as lens, list(deprel order by c) as ds from part p join chunk using (sent_id, c) group by p.sent_id)
             select sent_id as Sent_ID, text as Sentence, root_id as Root_ID, m as Phrase_Count, length(text) as Character_Length, n as Sentence_Length,
@@ -124,6 +125,10 @@ def oracle_sql() -> dict[str, str]:
         "licensed_bigrams": _CLASSES + """ select distinct a, b from (select deprel as a, lead(deprel) over (partition by sent_id order by c) as b from chunk join cls using (sent_id) where stage is null) where b is not null""",
         "relation_frequency": SQL + " select upos as cond, deprel as value, count(*) as n, round(count(*) / sum(count(*)) over (partition by upos), 9) as p from tok group by upos, deprel",
         "event_frequency": "select user_id % 10 as cond, event_type as value, count(*) as n, round(count(*) / sum(count(*)) over (partition by user_id % 10), 9) as p from events group by 1, 2",
+        "language_v_measure": """with c as (select lang as a, source as b, count(*) as n from documents group by 1, 2), s as (select n, sum(n) over (partition by a) as na, sum(n) over (partition by b) as nb, sum(n) over () as t from c),
+            h as (select -sum(n / t * ln(n / nb)) as hck, -sum(n / t * ln(n / na)) as hkc, -sum(n / t * ln(na / t)) as hc, -sum(n / t * ln(nb / t)) as hk from s),
+            v as (select case when hc is null or abs(hc) < 1e-12 then 1 else 1 - hck / hc end as hom, case when hk is null or abs(hk) < 1e-12 then 1 else 1 - hkc / hk end as com from h)
+            select round(hom, 9) as homogeneity, round(com, 9) as completeness, round(case when hom + com = 0 then 0 else 2 * hom * com / (hom + com) end, 9) as v_measure from v""",
         "label_precision": """with c as (select count(*) filter (toxic = 1 and quality = 1) as tp, count(*) filter (toxic = 0 and quality = 1) as fp, count(*) filter (toxic = 1 and quality = 0) as fn from labels)
             select tp, fp, fn, round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else tp / (tp + fp) end, 9) as precision,
             round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else tp / (tp + fn) end, 9) as recall, round(case when tp + fp + fn = 0 then 1 when tp = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 9) as f1 from c""",

@@ -31,3 +31,11 @@ def v_measure(pairs: DataFrame, cls: str, cluster: str) -> DataFrame:
                    F.coalesce(F.sum(F.expr("-n / t * ln(nc / t)")), F.lit(0.0)).alias("hc"), F.coalesce(F.sum(F.expr("-n / t * ln(nk / t)")), F.lit(0.0)).alias("hk"))
     h = h.select(F.when(F.abs("hc") < 1e-12, 1.0).otherwise(F.expr("1 - hck / hc")).alias("homogeneity"), F.when(F.abs("hk") < 1e-12, 1.0).otherwise(F.expr("1 - hkc / hk")).alias("completeness"))
     return h.withColumn("v_measure", F.expr("if(homogeneity + completeness = 0, 0.0, 2 * homogeneity * completeness / (homogeneity + completeness))"))
+
+
+def best_mapping(pairs: DataFrame, cls: str, cluster: str) -> DataFrame:
+    """many_to_one and one_to_many: shares of rows in the largest cell of their cluster, or of their class."""
+    cell = pairs.groupBy(F.col(cls).alias("c"), F.col(cluster).alias("k")).agg(F.count("*").alias("n"))
+    total = F.coalesce(F.try_divide(F.sum("m"), F.sum("t")), F.lit(0.0))
+    one, many = (cell.groupBy(x).agg(F.max("n").alias("m"), F.sum("n").alias("t")).agg(total.alias(n)) for x, n in (("k", "many_to_one"), ("c", "one_to_many")))
+    return one.crossJoin(F.broadcast(many))
