@@ -32,6 +32,8 @@ TRAIL = b"~ponmlkjihgf~"
 GAP = b"\n#%$@!&*\n"
 TOP = 12
 CACHE = 200_000
+#: Windows compressed in one call.
+CALL = 4096
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -68,10 +70,11 @@ class _Differences(dict):
         if len(self) + len(new) > CACHE:
             self.clear()
             new = list(words)
-        if new:
-            parts = [LEAD + b" " + w.encode("utf-8", "replace") + b" " + TRAIL for w in new]
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            parts = [LEAD + b" " + w.encode("utf-8", "replace") + b" " + TRAIL for w in part]
             t, o = (c.multi_compress_to_buffer(parts, threads=1) for c in (self.t, self.o))
-            self.update((w, _graded(len(y) - len(x), len(p) - EDGE)) for w, p, x, y in zip(new, parts, t, o, strict=True))
+            self.update((w, _graded(len(y) - len(x), len(p) - EDGE)) for w, p, x, y in zip(part, parts, t, o, strict=True))
 
     def histograms(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for text in texts:
@@ -231,6 +234,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return train([(r[0], int(r[1] > 0)) for r in rows], positive / max(1, sum(counts.values())))
 
 
+_LOADED: dict[int, object] = {}
+
+
+def _scorer(model: ToxicityModel):
+    """One scorer per worker process, whose windows and dictionaries later tasks use again."""
+    key = hash((model.toxic, model.ordinary, model.prior, None if model.weights is None else model.weights.tobytes()))
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = model.scorer()
+    return _LOADED[key]
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Add ``score`` (0 to 1) to (doc_id, text); null and empty texts have the score of no window.
 
@@ -238,7 +253,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = model.scorer()
+        f = _scorer(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
