@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vakya.llm import decontaminate, pieces, simhash, toxicity
+from vakya.llm import decontaminate, pieces, similar, toxicity
 from vakya.llm.common import materialise, table
 from vakya.llm.queries import tokenizer_path
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents of at least this score are rejected.
 TOXIC = 0.3
-SHINGLE = 5
+#: Documents of at least this Jaccard similarity on this many words are near copies.
+SIMILARITY, SHINGLE = 0.8, 5
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +26,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near copies the document with the smallest id; rows without an id stay.
 
-    Five-word shingles; fingerprints link at four or fewer differing bits, a
-    cosine of 0.98 or more. Rows that repeat a kept id all stay.
+    Five-word shingles; near are a similarity of 0.8 or more, and fingerprints
+    of four or fewer differing bits. Rows that repeat a kept id all stay.
     """
-    found = simhash.components(docs.where("doc_id is not null"), shingle=SHINGLE)
+    found = similar.similar_components(docs, SIMILARITY, SHINGLE)
     other = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(DOCUMENTS).join(other, "doc_id", "left_anti").select(DOCUMENTS)
 

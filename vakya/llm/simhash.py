@@ -28,21 +28,32 @@ _LOW = 0x5555555555555555
 _BATCH = 400_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash: a bit is set if set in over half the hashes of all shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence where there are fewer words; none without words."""
     import xxhash
 
     ws = (text or "").encode("utf-8", "replace").lower().split()
-    if not ws:
-        return 0
     h = xxhash.xxh64_intdigest
+    if not ws:
+        return np.zeros(0, np.uint64)
     if len(ws) <= shingle:
-        return int(np.uint64(h(b" ".join(ws), 42)).astype(np.int64))
+        return np.array([h(b" ".join(ws), 42)], np.uint64)
     buf = b" ".join(ws)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
     starts = np.concatenate([[0], ends[:-1]]).tolist()
     stops = (ends - 1)[shingle - 1 :].tolist()
-    hashes = np.array([h(buf[a:b], 42) for a, b in zip(starts, stops, strict=False)], np.uint64)
+    return np.array([h(buf[a:b], 42) for a, b in zip(starts, stops, strict=False)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash: a bit is set if set in over half the hashes of all shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed long; zero for none."""
+    if len(hashes) < 2:
+        return int(hashes.astype(np.int64)[0]) if len(hashes) else 0
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         part = hashes[i : i + 65_536]
