@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import trees_catalog
+from . import evaluation_catalog, trees_catalog
 from .operators import cascade, metrics, scorers, variants
 from .sources.treebank import SQL, treebank
 
@@ -86,7 +86,7 @@ def language_v_measure(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (filter_passed, filter_rejected, filter_counts, filter_summary, phrase_histogram, licensed_bigrams, variant_pairs, score_dependency_length,
            score_information_status, relation_frequency, event_frequency, label_precision, language_v_measure)
-    return {f.__name__: f for f in own} | trees_catalog.queries()
+    return {f.__name__: f for f in own} | trees_catalog.queries() | evaluation_catalog.queries()
 
 
 _CLASSES = SQL + r""",
@@ -108,7 +108,7 @@ _NAMES = "(values (1, 'Question'), (2, 'Negative Sentence'), (3, 'Ghost IDs'), (
 
 
 def oracle_sql() -> dict[str, str]:
-    return trees_catalog.oracle_sql() | {
+    return trees_catalog.oracle_sql() | evaluation_catalog.oracle_sql() | {
         "filter_passed": _CLASSES + r""", part as (select sent_id, c, count(*) as len from mem join cls using (sent_id) where stage is null group by sent_id, c),
             lst as (select p.sent_id, list(len order by c) as lens, list(deprel order by c) as ds from part p join chunk using (sent_id, c) group by p.sent_id)
             select sent_id as Sent_ID, text as Sentence, root_id as Root_ID, m as Phrase_Count, length(text) as Character_Length, n as Sentence_Length,
