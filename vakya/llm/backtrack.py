@@ -85,11 +85,10 @@ class Backtracker:
     def search(self, word: str) -> list[int] | None:
         n = len(word)
         best = [-1] * n
-        size, shorter, fit = self.size, self.shorter, self.fit
+        size, shorter, fit, known, width = self.size, self.shorter, self.fit, self.known, self.width
+        # Matches come in order of their ends, so the last one from a position is the longest.
         for end, k in self.automaton.iter(word):
-            at = end - size[k] + 1
-            if best[at] < 0 or size[k] > size[best[at]]:
-                best[at] = k
+            best[end - size[k] + 1] = k
         failed = bytearray(n // 8 + 1)
         out: list[int] = []
         pos, k = 0, best[0]
@@ -103,7 +102,12 @@ class Backtracker:
                 k = shorter[k]
                 continue
             end = pos + size[k]
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or fit(out[-1], k)):
+            ok = not failed[end >> 3] >> (end & 7) & 1
+            if ok and out:
+                ok = known.get(out[-1] * width + k)
+                if ok is None:
+                    ok = fit(out[-1], k)
+            if ok:
                 out.append(k)
                 pos = end
                 k = best[pos] if pos < n else -1
