@@ -64,3 +64,17 @@ def test_empty_table_repeats_and_null_ids(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", None), (2, "A b c d e f", None)]
     got = similar.similar_components(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_group_of_many_differing_copies(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(300)]
+    docs = []
+    for i in range(1000):
+        own = list(base)
+        for at in rng.sample(range(300), rng.randint(2, 5)):
+            own[at] = rng.choice(words)
+        docs.append((i, " ".join(own)))
+    found = similar.similar_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == _brute(docs)

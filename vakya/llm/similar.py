@@ -7,8 +7,12 @@ orders) are verified by their exact similarity. A pair of similarity s shares
 a given sample with about s ** SAMPLE, so one of 0.8 is missed with 4 in 10,000.
 
 In each group of one sample all members are verified against the smallest; the
-ones that fail form the group again. What is left after ROUNDS is compared in
-pairs of blocks, where members with two or more samples in common are verified.
+ones that fail form the group again, up to ROUNDS times. That joins most of a
+group, but a member that failed may still be near one that was verified. So
+every group whose members aren't all connected by then is compared whole, but
+for pairs that are connected already: groups of up to FEW members directly,
+larger ones in pairs of blocks, where members with two or more samples in
+common are verified.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SIMILARITY, SHINGLE = 0.8, 5
 ORDERS, SAMPLE, ROUNDS = 20, 5, 4
 #: Members of a group that are verified in one task, and rows of a block.
 BLOCK = 4096
+#: Groups of up to so many members are compared by a join.
+FEW = 32
 _CHUNK = 65_536
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -95,26 +101,41 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.join(least, "key").where("a > b").select("key", "a", "b")
 
 
-def _block_pairs(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b) of one group with two or more equal keys, groups being compared in pairs of blocks."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    dealt = rows.join(sizes, "key").withColumn("s", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
-    own = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "a", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
+def _open_groups(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, a, root, n): the groups, of n members, whose members aren't all connected."""
+    own = rows.join(root.select(F.col("node").alias("a"), "root"), "a", "left").select("key", "a", F.coalesce("root", "a").alias("root"))
+    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n")
+    return own.join(mixed, "key")
+
+
+def _few_pairs(groups: DataFrame) -> DataFrame:
+    """(a, b) of one small group that aren't connected."""
+    few = groups.where(F.col("n") <= FEW)
+    other = few.select("key", F.col("a").alias("b"), F.col("root").alias("r"))
+    return few.join(other, "key").where("a > b and root <> r").select("a", "b")
+
+
+def _block_pairs(groups: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b) of one large group that aren't connected and have two or more equal keys, groups being compared in pairs of blocks."""
+    k = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = groups.where(F.col("n") > FEW).withColumn("k", k).withColumn("s", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
+    own = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "a", "root", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
     own = own.join(keys.select(F.col("doc_id").alias("a"), "keys"), "a")
 
     def near(pdf):
         import pandas as pd
 
-        ids, m = pdf["a"].to_numpy(), np.stack(pdf["keys"].to_numpy())
+        ids, roots, m = pdf["a"].to_numpy(), pdf["root"].to_numpy(), np.stack(pdf["keys"].to_numpy())
         a, b = [], []
         for r in range(len(ids) - 1):
-            hit = np.flatnonzero((m[r + 1 :] == m[r]).sum(axis=1) > 1) + r + 1
+            hit = np.flatnonzero(roots[r + 1 :] != roots[r]) + r + 1
+            hit = hit[(m[hit] == m[r]).sum(axis=1) > 1]
             a.append(np.maximum(ids[hit], ids[r]))
             b.append(np.minimum(ids[hit], ids[r]))
         none = np.zeros(0, np.int64)
         return pd.DataFrame({"a": np.concatenate(a) if a else none, "b": np.concatenate(b) if b else none})
 
-    return own.groupBy("key", "i", "j").applyInPandas(near, "a bigint, b bigint").where("a > b").distinct()
+    return own.groupBy("key", "i", "j").applyInPandas(near, "a bigint, b bigint").where("a > b")
 
 
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -137,14 +158,21 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     if not stars.isEmpty():
         ids = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
         sets = materialise(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle), "sets")
+        tested = []
         for _ in range(ROUNDS):
             near = materialise(verified(stars.select("a", "b").distinct(), sets, similarity), "verified")
             edges.append(near)
+            tested.append(stars.select("a", "b"))
             rest = materialise(stars.join(near, ["a", "b"], "left_anti").select("key", "a"), "rest")
             stars = materialise(_stars(rest), "stars")
             if stars.isEmpty():
                 break
-        else:
-            edges.append(materialise(verified(_block_pairs(rest, nodes.groupBy("doc_id").agg(F.min("keys").alias("keys"))), sets, similarity), "verified"))
+        root = connected(reduce(DataFrame.unionByName, edges))
+        edges = [root.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        groups = materialise(_open_groups(rows, root), "open")
+        pairs = _few_pairs(groups).unionByName(_block_pairs(groups, nodes.groupBy("doc_id").agg(F.min("keys").alias("keys")))).distinct()
+        pairs = materialise(pairs.join(reduce(DataFrame.unionByName, tested).distinct(), ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            edges.append(materialise(verified(pairs, sets, similarity), "verified"))
     root = connected(reduce(DataFrame.unionByName, edges))
     return own.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "fp", F.coalesce("root", "doc_id").alias("component_id"))
