@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from vakya.llm import similar
 
 
@@ -78,3 +80,26 @@ def test_group_of_many_differing_copies(spark):
         docs.append((i, " ".join(own)))
     found = similar.similar_components(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == _brute(docs)
+
+
+def test_parity_bits_lose_no_pair_whatever_its_keys():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n, np.uint64) for n in (1, 4, 31, 33, 130, 250, 1000)]
+    for x in list(sets):
+        for share in (0.05, 0.1, 0.2, 0.4):
+            sets.append(np.concatenate([x[int(share * len(x)) :], rng.integers(0, 1 << 63, int(share * len(x) / 2), np.uint64)]))
+    sets = [np.unique(x) for x in sets]
+    apart = np.arange(len(sets))
+    r, c = similar.possible_pairs(np.array([len(x) for x in sets]), [similar.parity_bits(x) for x in sets], 0.8, [apart])
+    found = {tuple(sorted(p)) for p in zip(r.tolist(), c.tolist(), strict=True)}
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))}
+    assert want <= found and len(found) < len(sets) * len(sets) / 4
+
+
+def test_block_pair_with_one_common_key(spark, monkeypatch):
+    monkeypatch.setattr(similar, "FEW", 1)
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    hashes = np.random.default_rng(9).integers(0, 1 << 63, (20, 100)).tolist()
+    sets = spark.createDataFrame([(1, hashes[1]), (2, hashes[1][:95]), *[(i, hashes[i]) for i in range(3, 20)]], "doc_id long, hashes array<bigint>")
+    groups = spark.createDataFrame([(7, i, i, 19) for i in range(1, 20)], "key long, a long, root long, n long")
+    assert [tuple(r) for r in similar._block_pairs(groups, sets, 0.8).collect()] == [(2, 1)]

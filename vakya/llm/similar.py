@@ -11,8 +11,8 @@ ones that fail form the group again, up to ROUNDS times. That joins most of a
 group, but a member that failed may still be near one that was verified. So
 every group whose members aren't all connected by then is compared whole, but
 for pairs that are connected already: groups of up to FEW members directly,
-larger ones in pairs of blocks, where members with two or more samples in
-common are verified.
+larger ones in pairs of blocks, where a pair goes to verification unless sizes
+or parity bits prove that it's below the similarity.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ ORDERS, SAMPLE, ROUNDS = 20, 5, 4
 BLOCK = 4096
 #: Groups of up to so many members are compared by a join.
 FEW = 32
+#: Most parity bits of a text; a text has two to four a shingle.
+MOST_BITS = 1 << 17
 _CHUNK = 65_536
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -77,6 +79,54 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, hashes array<bigint>")
 
 
+def parity_bits(distinct: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles, set if an odd number of them has it.
+
+    Two texts differ in at least as many shingles as bits; the upper half of
+    the bits folded onto the lower is the same for half as many residues.
+    """
+    n = min(MOST_BITS, 1 << max(6, (2 * len(distinct) - 1).bit_length()))
+    return np.packbits((np.bincount((distinct & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(doc_id, size, bits) of every shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.array(x.as_py(), np.int64).view(np.uint64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([parity_bits(x) for x in own], pa.binary())], ["doc_id", "size", "bits"])
+
+    return sets.mapInArrow(run, "doc_id bigint, size bigint, bits binary")
+
+
+def possible_pairs(size: np.ndarray, bits: list[bytes], similarity: float, apart: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (r, c) whose sizes and parity bits allow the similarity and that differ in every array of ``apart``."""
+    order = np.argsort(size, kind="stable")
+    n, words = size[order], [np.frombuffer(bits[i], np.uint64) for i in order]
+    apart = [x[order] for x in apart]
+    width = np.array([len(w) for w in words], np.int64)
+    # |x ^ y| <= (|x| + |y|) * (1 - s) / (1 + s)
+    most = (1 - similarity) / (1 + similarity)
+    last = np.searchsorted(n, np.floor(n / similarity + 1e-6), side="right")
+    left, right = [], []
+    for w in np.unique(width):
+        lo, hi = np.searchsorted(width, [w, w + 1])
+        m = np.stack([np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) for x in words[lo : last[hi - 1]]])
+        for r in range(lo, hi):
+            c = np.arange(r + 1, last[r])
+            for x in apart:
+                c = c[x[c] != x[r]]
+            for k in range(0, len(c), 1024):
+                part = c[k : k + 1024]
+                differ = np.bitwise_count(m[part - lo] ^ m[r - lo]).sum(axis=1, dtype=np.int64)
+                hit = part[differ <= (n[part] + n[r]) * most + 1e-6]
+                left.append(np.full(len(hit), order[r]))
+                right.append(order[hit])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets have at least this Jaccard similarity.
 
@@ -115,27 +165,24 @@ def _few_pairs(groups: DataFrame) -> DataFrame:
     return few.join(other, "key").where("a > b and root <> r").select("a", "b")
 
 
-def _block_pairs(groups: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b) of one large group that aren't connected and have two or more equal keys, groups being compared in pairs of blocks."""
+def _block_pairs(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of one large group that aren't connected and may be similar, groups being compared in pairs of blocks."""
+    large = groups.where(F.col("n") > FEW)
+    bits = parities(sets.join(large.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")).withColumnRenamed("doc_id", "a")
     k = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = groups.where(F.col("n") > FEW).withColumn("k", k).withColumn("s", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
-    own = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "a", "root", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
-    own = own.join(keys.select(F.col("doc_id").alias("a"), "keys"), "a")
+    dealt = large.withColumn("k", k).withColumn("s", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
+    own = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "a", "root", "s", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
 
     def near(pdf):
         import pandas as pd
 
-        ids, roots, m = pdf["a"].to_numpy(), pdf["root"].to_numpy(), np.stack(pdf["keys"].to_numpy())
-        a, b = [], []
-        for r in range(len(ids) - 1):
-            hit = np.flatnonzero(roots[r + 1 :] != roots[r]) + r + 1
-            hit = hit[(m[hit] == m[r]).sum(axis=1) > 1]
-            a.append(np.maximum(ids[hit], ids[r]))
-            b.append(np.minimum(ids[hit], ids[r]))
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate(a) if a else none, "b": np.concatenate(b) if b else none})
+        ids, apart = pdf["a"].to_numpy(), [pdf["root"].to_numpy()]
+        if pdf["i"].iat[0] < pdf["j"].iat[0]:
+            apart.append(pdf["s"].to_numpy())
+        r, c = possible_pairs(pdf["size"].to_numpy(), pdf["bits"].tolist(), similarity, apart)
+        return pd.DataFrame({"a": np.maximum(ids[r], ids[c]), "b": np.minimum(ids[r], ids[c])})
 
-    return own.groupBy("key", "i", "j").applyInPandas(near, "a bigint, b bigint").where("a > b")
+    return own.join(bits, "a").groupBy("key", "i", "j").applyInPandas(near, "a bigint, b bigint")
 
 
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -170,7 +217,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         root = connected(reduce(DataFrame.unionByName, edges))
         edges = [root.select(F.col("node").alias("a"), F.col("root").alias("b"))]
         groups = materialise(_open_groups(rows, root), "open")
-        pairs = _few_pairs(groups).unionByName(_block_pairs(groups, nodes.groupBy("doc_id").agg(F.min("keys").alias("keys")))).distinct()
+        pairs = _few_pairs(groups).unionByName(_block_pairs(groups, sets, similarity)).distinct()
         pairs = materialise(pairs.join(reduce(DataFrame.unionByName, tested).distinct(), ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             edges.append(materialise(verified(pairs, sets, similarity), "verified"))
