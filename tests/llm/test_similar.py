@@ -103,3 +103,14 @@ def test_block_pair_with_one_common_key(spark, monkeypatch):
     sets = spark.createDataFrame([(1, hashes[1]), (2, hashes[1][:95]), *[(i, hashes[i]) for i in range(3, 20)]], "doc_id long, hashes array<bigint>")
     groups = spark.createDataFrame([(7, i, i, 19) for i in range(1, 20)], "key long, a long, root long, n long")
     assert [tuple(r) for r in similar._block_pairs(groups, sets, 0.8).collect()] == [(2, 1)]
+
+
+def test_short_texts_match_brute_force(spark):
+    rng = random.Random(13)
+    docs = []
+    for i in range(400):
+        n = rng.choice([8, 9, 12, 13, 14, 18, 25, 95, 98, 100, 104, 118])
+        own = [f"s{i}x{k}" for k in range(n)]
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, *(f"y{i}x{k}" for k in range((n - 4) // 4))]))]
+    found = similar.similar_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i - i % 2 for i, _ in docs}

@@ -4,7 +4,10 @@ A 64-bit fingerprint can't tell a Jaccard similarity of 0.8 from chance: such
 pairs differ in 5 to 15 bits. So beside the fingerprints' own links, texts that
 share a sample of shingles (the SAMPLE lowest of all under one of ORDERS hash
 orders) are verified by their exact similarity. A pair of similarity s shares
-a given sample with about s ** SAMPLE, so one of 0.8 is missed with 4 in 10,000.
+a given sample with about s ** SAMPLE; for u shingles of which i are common it is
+C(i, SAMPLE) / C(u, SAMPLE), less than that for small texts. So texts of up to
+EXACT shingles have single shingles as keys instead, the first of them in the
+order of their hashes: a pair of the similarity has one of them in common.
 
 In each group of one sample all members are verified against the smallest; the
 ones that fail form the group again, up to ROUNDS times. That joins most of a
@@ -17,6 +20,7 @@ or parity bits prove that it's below the similarity.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,6 +35,8 @@ from .components import connected
 
 SIMILARITY, SHINGLE = 0.8, 5
 ORDERS, SAMPLE, ROUNDS = 20, 5, 4
+#: Texts of up to so many shingles lose no pair; the others' keys are samples.
+EXACT = 96
 #: Members of a group that are verified in one task, and rows of a block.
 BLOCK = 4096
 #: Groups of up to so many members are compared by a join.
@@ -51,7 +57,24 @@ def sample_keys(distinct: np.ndarray) -> np.ndarray:
     return low.sum(axis=1, dtype=np.uint64)
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def prefix_keys(distinct: np.ndarray, similarity: float) -> np.ndarray:
+    """The lowest of the sorted shingles, as many as a similar text can't all be without."""
+    n = len(distinct)
+    return distinct[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def text_keys(distinct: np.ndarray, similarity: float) -> np.ndarray:
+    """Prefix keys of small texts, samples of large ones; both of those that are near small and large ones."""
+    n = len(distinct)
+    if not n:
+        return distinct
+    parts = [prefix_keys(distinct, similarity)] if n * similarity <= EXACT + 1e-9 else []
+    if n > EXACT:
+        parts.append(sample_keys(distinct))
+    return np.concatenate(parts)
+
+
+def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(doc_id, fp, keys) of every whole text; no keys for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +83,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             for text in b.column(1).to_pylist():
                 h = simhash.shingle_hashes(text, shingle)
                 fps.append(simhash.majority(h))
-                keys.append(sample_keys(np.unique(h)).view(np.int64).tolist() if len(h) else [])
+                keys.append(text_keys(np.unique(h), similarity).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
 
     src = docs.select("doc_id", "text")
@@ -192,7 +215,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     are left out; rows that repeat an id are one node.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    own = materialise(sketches(docs, shingle), "sketches")
+    own = materialise(sketches(docs, shingle, similarity), "sketches")
     nodes = materialise(own.groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("n")).select("fp", "n.doc_id", "n.keys"), "nodes")
     by_bits = connected(simhash.links(nodes.select("fp")))
     edges = [nodes.join(by_bits, nodes["fp"] == by_bits["node"]).select("doc_id", "root").join(
