@@ -94,6 +94,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_record(data, m["frame"], m["record_start"], m["record_bytes"]).endswith("\r\n\r\né\r\n\r\n".encode())
 
 
+def test_warc_keeps_repeated_rows(spark, monkeypatch):
+    one = spark.createDataFrame([(i, f"u{i}", f"page {i}") for i in range(50)], "page_id bigint, url string, html string").coalesce(1)
+    assert warc.archive(one.union(one).union(one)).groupBy("page_id").count().where("count = 3").count() == 50
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 1000)
+    same = spark.range(40).select(F.lit(1).cast("bigint").alias("page_id"), F.lit("u").alias("url"), F.lit("x").alias("html")).coalesce(1)
+    assert warc.archive(same).count() == 40
+
+
 def test_license_join_matches_brute_force(spark):
     rng = random.Random(2)
     bag = [w for t in licenses.TEMPLATES.values() for w in t.split()]

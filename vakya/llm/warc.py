@@ -11,6 +11,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,8 +127,9 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write one record per row into bundles below ``folder``; returns the manifest.
 
-    A bundle's name comes from its content, and it's moved into place whole, so
-    a task that is run again writes the same files.
+    A bundle's name comes from its content, its partition and its number there, so
+    bundles of equal records stay apart; it's moved into place whole, so a task
+    that is run again writes the same files.
     """
     repeated = roles(pages, min_bytes).where("refers_to is not null").select("page_id", "hex", "refers_to").distinct()
     # The digest is computed again from the row at hand: html moves by page_id, which spreads it evenly.
@@ -140,14 +142,15 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        w = BundleWriter()
+        w, task, numbers = BundleWriter(), TaskContext.get().partitionId(), count()
 
         def flush() -> pa.RecordBatch:
             data = w.finish()
-            name = f"{base}/{hashlib.sha256(data).hexdigest()[:32]}.warc.zst"
+            name = f"{base}/{hashlib.sha256(data).hexdigest()[:32]}-{task}-{next(numbers)}.warc.zst"
             part = f"{name}.{uuid.uuid4().hex}.tmp"
             with store.open_output_stream(part, compression=None) as f:
                 f.write(data)
