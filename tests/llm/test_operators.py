@@ -155,6 +155,31 @@ def test_decontamination_finds_paraphrases_and_leaves_clean_text(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0
 
 
+def test_decontamination_matches_brute_force_over_passages(spark):
+    rng = random.Random(17)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([15, 25, 40])))) for i in range(400)]
+    docs = []
+    for i, t in items:
+        before, after = ([rng.choice(vocab) for _ in range(rng.randint(100, 200))] for _ in range(2))
+        own = [w for w in t.split() if i % 2 or rng.random() > 0.1]
+        docs.append((i, " ".join(before + own + after)))
+    spaces = decontaminate._item_space(items)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    decontaminate.weigh(d, spaces)
+    want = set()
+    for doc, t in docs:
+        ws = licenses.words(t)
+        for i, item in enumerate(spaces.items):
+            rare = set(sorted(set(item), key=lambda w: (-spaces.idf[spaces.number[w]], w))[: decontaminate.ANSWER_WORDS])
+            for start in range(0, len(ws), decontaminate.HALF):
+                region = ws[max(0, start - decontaminate.HALF) : start + 2 * decontaminate.HALF + max(decontaminate.HALF, len(item))]
+                if len(rare.intersection(region)) >= decontaminate.ANSWER * len(rare) and decontaminate.common_subsequence(item, region) >= decontaminate.SUBSEQUENCE * len(item):
+                    want.add((doc, spaces.ids[i]))
+    assert {(i, i) for i in range(1, 400, 2)} <= want
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()} == want
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):

@@ -4,7 +4,9 @@ Documents are cut into overlapping passages, weighted by TF-IDF over the
 benchmark's words, and embedded by a randomised SVD whose sketch is gathered
 from all passages. Passages whose embedding is close to an item's are checked:
 the longest common subsequence with the item's words, and the item's
-rarest words, which stand for its answer.
+rarest words, which stand for its answer. An item's embedding may be weak or
+drowned by the words around it, so passages that hold enough of its rarest
+words are checked as well, whatever their cosine.
 """
 
 from __future__ import annotations
@@ -197,6 +199,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _rare_postings(space: Space, answers: list[set]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items, and the bits of their rarest words, by word: where each word's rows start, their number, item and bit."""
+    rows = sorted((space.number[w], i, k) for i, own in enumerate(answers) for k, w in enumerate(sorted(own)))
+    word, item, bit = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    n = np.bincount(word, minlength=len(space.number))
+    return np.cumsum(n) - n, n, item, 1 << bit
+
+
+def _holding(numbers: np.ndarray, halves: np.ndarray, first: np.ndarray, postings: tuple, rare: np.ndarray, reach: np.ndarray, answer: float) -> set[tuple[int, int]]:
+    """(half, item) of every passage that may hold the share of the item's rarest words in its region of ``reach`` halves."""
+    starts, n, items, bits = postings
+    k = n[numbers]
+    at = np.repeat(starts[numbers] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+    if not len(at):
+        return set()
+    span = int(first[-1]) + 1
+    key, inverse = np.unique(items[at] * span + np.repeat(halves, k), return_inverse=True)
+    own = np.zeros(len(key), np.int64)
+    np.bitwise_or.at(own, inverse, bits[at])
+    item, half = key // span, key % span
+    doc = np.searchsorted(first, half, side="right") - 1
+    held = own.copy()
+    for j in range(1, min(int(reach.max()), len(key))):
+        near = (item[j:] == item[:-j]) & (doc[j:] == doc[:-j]) & (half[j:] - half[:-j] < reach[item[:-j]])
+        held[:-j] |= np.where(near, own[j:], 0)
+    # ``half`` is the first with such a word; passages whose region starts there or before it.
+    ok = np.flatnonzero(np.bitwise_count(held) / rare[item] >= answer)
+    return {(s, i) for i, h, d in zip(item[ok].tolist(), half[ok].tolist(), doc[ok].tolist(), strict=True) for s in range(max(int(first[d]), h + 2 - int(reach[i])), h + 2)}
+
+
 def _search(docs: DataFrame, space: Space, cosine: float, subsequence: float, answer: float) -> DataFrame:
     counted = _counted(space)
     answers = [set(sorted(set(ws), key=lambda w: (-space.idf[space.number[w]], w))[:ANSWER_WORDS]) for ws in space.items]
@@ -208,14 +240,18 @@ def _search(docs: DataFrame, space: Space, cosine: float, subsequence: float, an
     targets = _unit(vectors).T.copy()
     # An item without a word that counts has no direction: it is checked wherever its words stand.
     bare = [i for i in range(len(space.items)) if not vectors[i].any()]
+    postings, rare = _rare_postings(space, answers), np.array([len(x) for x in answers])
+    # A region is three halves and as many words as the item has, or a half.
+    reach = np.array([3 - (-max(HALF, len(ws)) // HALF) for ws in space.items])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _together(batches, 1):
             keys = b.column(0).to_pylist()
-            all_words, numbers, halves, first = _halves(texts, counted)
-            p = _passages(numbers, halves, int(first[-1]), counted.idf, space.vectors)
+            all_words, numbers, halves, first = _halves(texts, space)
+            pairs = _holding(numbers, halves, first, postings, rare, reach, answer)
+            weighty = space.idf[numbers] > 0
+            p = _passages(numbers[weighty], halves[weighty], int(first[-1]), space.idf, space.vectors)
             live = np.flatnonzero(p.any(1))
-            pairs = set()
             for s in range(0, len(live), 2048):
                 at, item = np.nonzero(_unit(p[live[s : s + 2048]]) @ targets >= cosine)
                 pairs.update(zip(live[s : s + 2048][at].tolist(), item.tolist(), strict=True))
