@@ -21,8 +21,8 @@ from .backtrack import Backtracker
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
-#: Words remembered per worker; beyond that the memory starts anew.
-CACHE = 200_000
+#: Words of a generation remembered per worker; when it's full, the generation before it is forgotten.
+CACHE = 250_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,7 +96,8 @@ class PieceModel:
             raise ValueError("byte fallback is needed")
         self.end = self.pieces.index("</s>")
         self._build(score, {p: k for k, p in enumerate(self.pieces) if self.kinds[k] == _NORMAL})
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self._class = re.escape("".join(c for c in score if len(c) == 1))
         self.unmergeable = [c for c in "\n\t\r" if c not in score]
         cuts = re.escape("".join(self.unmergeable))
@@ -130,10 +131,11 @@ class PieceModel:
             return (number[parts[0]], number[parts[1]]) if len(parts) == 2 else None
 
         self.tracker = Backtracker(tokens, [last(p) if len(p) > 1 else None for p in tokens], join)
-        tokens = [*tokens, *sorted(runs)]
-        self.ids = [ids[p] for p in tokens]
-        self.shown = [str(x) for x in self.ids]
-        self.spaced = [p.replace(SPACE, " ") for p in tokens]
+        self.ids = [ids[p] for p in [*tokens, *sorted(runs)]]
+        self.shown = [str(k) for k in range(len(self.pieces))]
+        self.spaced = [p.replace(SPACE, " ") for p in self.pieces]
+        #: Ids from here on are ordinary pieces.
+        self.ordinary = 1 + max((k for k, kind in enumerate(self.kinds) if kind != _NORMAL), default=-1)
 
     def _numbers(self, word: str) -> list[int] | None:
         out = self.tracker.encode(word)
@@ -158,16 +160,14 @@ class PieceModel:
             ids += [self.ids[k] for k in found] if found is not None else [self.byte_id[x] for x in part.encode("utf-8", "replace")]
         return ids
 
-    def _word(self, word: str) -> tuple[str, int, str]:
-        """Ids as text, their number, and the text that these ids decode to."""
-        found = self._numbers(word)
-        if found is not None:
-            out = (" ".join([self.shown[k] for k in found]), len(found), "".join([self.spaced[k] for k in found]))
-        else:
-            ids = self.encode_word(word)
-            out = (" ".join(map(str, ids)), len(ids), self._surface(ids))
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a stretch that the newer generation of words doesn't hold."""
+        out = self.older.get(word)
+        if out is None:
+            out = tuple(self.encode_word(word))
         if len(self.words) >= CACHE:
-            self.words.clear()
+            self.older = self.words
+            self.words = {}
         if len(word) < 64:
             self.words[word] = out
         return out
@@ -189,37 +189,33 @@ class PieceModel:
                 out.append(self.pieces[k].replace(SPACE, " "))
         return "".join(out) + run.decode("utf-8", "replace")
 
-    def _stretches(self, text: str) -> list[tuple[str, int, str]]:
-        """No piece goes on over these cuts: before a run of spaces, and around unmergeable characters."""
-        if not text:
-            return []
-        get, word = self.words.get, self._word
-        return [get(w) or word(w) for w in self.split((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))]
-
     def encode(self, text: str, end: bool = True) -> list[int]:
-        ids = [int(x) for w in self._stretches(text) for x in w[0].split()]
-        return [*ids, self.end] if end else ids
+        """No piece goes on over the cuts between stretches: before a run of spaces, and around unmergeable characters."""
+        ids: list[int] = []
+        if text:
+            more, word = ids.extend, self._word
+            for w in self.split((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)):
+                more(self.words.get(w) or word(w))
+        if end:
+            ids.append(self.end)
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding put in front is dropped."""
-        shown = [k for k in ids if self.kinds[k] != _CONTROL]
-        out = self._surface(shown)
+        shown = ids[:-1] if ids and ids[-1] == self.end else ids
+        if shown and min(shown) >= self.ordinary:
+            out = "".join(map(self.spaced.__getitem__, shown))
+        else:
+            shown = [k for k in shown if self.kinds[k] != _CONTROL]
+            out = self._surface(shown)
         starts = bool(shown) and self.kinds[shown[0]] == _NORMAL and out.startswith(" ")
         return out[1:] if self.dummy_prefix and starts else out
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids with the end id, SHA-256 of the ids as text, SHA-256 of the decoded text.
-
-        Stretches decode one by one: none starts or ends inside a run of bytes
-        of one character, so their texts joined are the text of all ids.
-        """
-        parts = self._stretches(text or "")
-        ids = " ".join([*(w[0] for w in parts), str(self.end)])
-        back = "".join([w[2] for w in parts])
-        if self.dummy_prefix and back.startswith(" "):
-            back = back[1:]
+        """Number of ids with the end id, SHA-256 of the ids as text, SHA-256 of the text that they decode to."""
+        ids = self.encode(text or "")
         sha = hashlib.sha256
-        return sum([w[1] for w in parts]) + 1, sha(ids.encode()).hexdigest(), sha(back.encode("utf-8", "replace")).hexdigest()
+        return len(ids), sha(" ".join(map(self.shown.__getitem__, ids)).encode()).hexdigest(), sha(self.decode(ids).encode("utf-8", "replace")).hexdigest()
 
 
 _LOADED: dict[str, PieceModel] = {}
@@ -244,7 +240,7 @@ def encode_documents(docs: DataFrame, raw: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(raw)
         for b in batches:
-            rows = [m.digests(t) for t in b.column(1).to_pylist()]
+            rows = [m.digests(t.as_py()) for t in b.column(1)]
             n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())],
@@ -262,7 +258,7 @@ def round_trip(docs: DataFrame, raw: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(raw)
         for b in batches:
-            ids = [m.encode(t or "") for t in b.column(1).to_pylist()]
+            ids = [m.encode(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"]
             )
