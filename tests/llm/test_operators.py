@@ -164,22 +164,53 @@ def test_decontamination_matches_brute_force_over_passages(spark):
         before, after = ([rng.choice(vocab) for _ in range(rng.randint(100, 200))] for _ in range(2))
         own = [w for w in t.split() if i % 2 or rng.random() > 0.1]
         docs.append((i, " ".join(before + own + after)))
-    spaces = decontaminate._item_space(items)
+    space = decontaminate._item_space(items)
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    decontaminate.weigh(d, spaces)
+    decontaminate.weigh(decontaminate.coded(d, space), space)
+    name = {k: w for w, k in space.number.items()}
     want = set()
     for doc, t in docs:
         ws = licenses.words(t)
-        for i, item in enumerate(spaces.items):
-            rare = set(sorted(set(item), key=lambda w: (-spaces.idf[spaces.number[w]], w))[: decontaminate.ANSWER_WORDS])
+        for i, numbers in enumerate(space.items):
+            item = [name[k] for k in numbers]
+            rare = set(sorted(set(item), key=lambda w: (-space.rare[space.number[w]], space.number[w]))[: decontaminate.ANSWER_WORDS])
             for start in range(0, len(ws), decontaminate.HALF):
                 region = ws[max(0, start - decontaminate.HALF) : start + 2 * decontaminate.HALF + max(decontaminate.HALF, len(item))]
-                if len(rare.intersection(region)) >= decontaminate.ANSWER * len(rare) and decontaminate.common_subsequence(item, region) >= decontaminate.SUBSEQUENCE * len(item):
-                    want.add((doc, spaces.ids[i]))
+                told = len(rare.intersection(region)) >= decontaminate.ANSWER * len(rare)
+                share = decontaminate.common_subsequence(item, region) / len(item)
+                n = len(item) // 2
+                moved = sum(decontaminate.common_subsequence(x, region) for x in (item[:n], item[n:])) / len(item)
+                if share >= decontaminate.STRONG or told and (share >= decontaminate.SUBSEQUENCE or moved >= decontaminate.MOVED):
+                    want.add((doc, space.ids[i]))
     assert {(i, i) for i in range(1, 400, 2)} <= want
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()} == want
 
 
+def test_decontamination_of_edited_items_repeats_and_clashing_columns(spark):
+    rng = random.Random(23)
+    vocab = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+
+    def prose(n):
+        return rng.choices(vocab, weights, k=n)
+
+    items = [(i, prose(30)) for i in range(20)]
+    docs = []
+    for i, own in items:
+        changed = list(own)
+        for k in rng.sample(range(30), 9):
+            changed[k] = rng.choice(vocab)
+        for kind, x in enumerate((changed, own[15:] + own[:15], own[:22])):
+            docs.append((10 * i + kind, " ".join([*prose(150), *x, *prose(150)]), "x", 0))
+    docs += [(1000 + i, " ".join(prose(300)), "x", 0) for i in range(300)]
+    docs += [docs[0], (5000, " ".join([*prose(60_000), *items[0][1]]), None, None)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, codes string, df int")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in items] + [(0, " ".join(items[0][1]))], "item_id bigint, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()]
+    assert set(got) == {(10 * i + kind, i) for i in range(20) for kind in range(3)} | {(5000, 0)}
+    assert got.count((0, 0)) == 4  # a repeated row and a repeated item
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):

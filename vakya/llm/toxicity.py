@@ -4,6 +4,10 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary
 labelled text. A text is cut into short word-aligned windows; each window is
 compressed under both dictionaries, and the histogram of length differences
 feeds a logistic calibration. Whole texts are scored, never prefixes.
+
+Dictionaries that are trained on all text of a class tell little here: most of toxic
+text is ordinary prose. So a class's own part is trained on its significant windows only.
+Sizes and segments were chosen by cross-validation within the training rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +25,13 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample for training, per class.
 SAMPLE_PER_CLASS = 2500
-BASE_BYTES, LEAN_BYTES = 16_000, 8_000
+#: Bytes of the background and of a class's own part, and the most samples that each is trained on.
+BASE_BYTES, PART_BYTES = 16_000, 4_000
+BASE_SAMPLES, PART_SAMPLES = 60_000, 60_000
+#: Bytes of the segments that the trainer picks for each.
+BASE_SEGMENT, PART_SEGMENT = 50, 48
+#: Fewest texts of a class to train on: its halves take turns at dictionaries and calibration.
+LEAST = 4
 #: Windows are word-aligned; a longer word makes several.
 WINDOW_CHARS = 16
 #: What every window is compressed after; both dictionaries hold it, so its cost cancels out.
@@ -76,7 +86,7 @@ class _Differences(dict):
             t, o = (c.multi_compress_to_buffer(parts, threads=1) for c in (self.t, self.o))
             self.update((w, _graded(len(y) - len(x), len(p) - EDGE)) for w, p, x, y in zip(part, parts, t, o, strict=True))
 
-    def histograms(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def histograms(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         for text in texts:
             parts = windows(text or "")
             self.learn(set(parts))
@@ -115,69 +125,73 @@ class ToxicityModel:
 
     def scorer(self):
         if self.weights is None:
-            return lambda texts: [self.prior] * len(texts)
+            return lambda texts: [self.prior for _ in texts]
         seen = _Differences(self.toxic, self.ordinary)
 
-        def score(texts: list[str | None]) -> list[float]:
-            x = np.array([_features(h) for h in seen.histograms(texts)]).reshape(len(texts), len(self.mean))
+        def score(texts: Iterable[str | None]) -> list[float]:
+            x = np.array([_features(h) for h in seen.histograms(texts)]).reshape(-1, len(self.mean))
             z = np.clip(((x - self.mean) / self.scale * self.weights).sum(1), -30, 30)  # row by row alike in any batch
             return (1.0 / (1.0 + np.exp(-z))).tolist()
 
         return score
 
 
-def _stems(texts: list[str]) -> Counter:
-    """Number of texts with each word."""
+def _words_held(texts: list[str]) -> Counter:
+    """Number of texts with each window."""
     df: Counter = Counter()
     for t in texts:
-        seen = set()
-        for w in set(_WORD.findall(t.lower())):
-            if 3 < len(w) <= WINDOW_CHARS:
-                seen.add(f" {w} ")
-        df.update(seen)
+        df.update(set(windows(t)))
     return df
 
 
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Content of a dictionary that zstandard trains on the samples; the samples themselves where they are too few for it."""
+    import zstandard as zs
+
+    try:
+        return zs.train_dictionary(size, samples, k=segment, d=6).as_bytes()[-size:]
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _spread(rows: list, most: int) -> list:
+    """All of the rows, or ``most`` of them at even distances."""
+    return rows if len(rows) <= most else [rows[i * len(rows) // most] for i in range(most)]
+
+
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Train one dictionary per class.
 
-    Toxic text is mostly ordinary prose, so what its dictionary holds besides
-    the ordinary one decides. Over one trained base, each dictionary ends with
-    the fragments that lean to its class significantly.
+    Both begin with a background that is trained on the prose of both classes, since
+    toxic text is mostly ordinary prose. Then each class has a part trained on
+    its own text alone, on those windows that it holds significantly more
+    often than the other class.
     """
-    import zstandard as zs
-
-    a, b = _stems(toxic), _stems(ordinary)
+    a, b = _words_held(toxic), _words_held(ordinary)
     na, nb = len(toxic), len(ordinary)
 
-    def lean(x: Counter, y: Counter, nx: int, ny: int) -> bytes:
-        found, sure = [], math.log(len(x) + 1) + 2  # leaves out what stands among so many words by chance
+    def part(texts: list[str], x: Counter, y: Counter, nx: int, ny: int) -> bytes:
+        sure, lean = math.log(len(x) + 1) + 2, set()  # leaves out what stands among so many words by chance
         for w, k in x.items():
             e = (y.get(w, 0) + 0.5) * nx / (ny + 1)
-            if k > 2 * e and (g := k * math.log(k / e) - k + e) > sure:
-                found.append((g, w))
-        out, size = "", 0
-        for _, w in sorted(found, key=lambda t: (-t[0], t[1])):
-            if w not in out and (size := size + len(w.encode())) <= LEAN_BYTES:
-                out = w + out
-        return out.encode()
-
-    base = [w.encode() for t in ordinary for w in re.findall(r"(?s).{1,200}", t.lower())][:40_000]
-    try:
-        common = zs.train_dictionary(BASE_BYTES, base).as_bytes()[-BASE_BYTES:]
-    except zs.ZstdError:
-        common = b"".join(base)[-BASE_BYTES:]
-    return common + lean(a, b, na, nb) + GAP + TRAIL + LEAD, common + lean(b, a, nb, na) + GAP + TRAIL + LEAD
+            if k > 2 * e and k * math.log(k / e) - k + e > sure:
+                lean.add(w)
+        own = [w for t in texts for w in windows(t) if w in lean]
+        return _trained([f" {w} ".encode() for w in _spread(own, PART_SAMPLES)], PART_BYTES, PART_SEGMENT) if own else b""
+
+    prose = [w.encode() for t in [*ordinary, *toxic] for w in re.findall(r"(?s).{1,200}", t.lower())]
+    common = _trained(_spread(prose, BASE_SAMPLES), BASE_BYTES, BASE_SEGMENT)
+    return tuple(common + x + GAP + TRAIL + LEAD for x in (part(toxic, a, b, na, nb), part(ordinary, b, a, nb, na)))
 
 
 def train(rows: list[tuple[str | None, int]], rate: float) -> ToxicityModel:
     """Train on (text, toxic) rows; ``rate`` is the share of toxic rows among all usable labels.
 
-    With only one class, or no row, the model scores every text at ``rate``.
+    With fewer than LEAST texts of a class the model scores every text at ``rate``.
     """
     toxic = sorted(t or "" for t, y in rows if y)
     ordinary = sorted(t or "" for t, y in rows if not y)
-    if len(toxic) < 4 or len(ordinary) < 4:
+    if min(len(toxic), len(ordinary)) < LEAST:
         return ToxicityModel(prior=rate)
     return _fit(toxic, ordinary, rate)
 
@@ -216,8 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     """Train on a bounded sample of labelled documents outside the held-out quarter.
 
     The sample is, per class, the ``per_class`` documents whose hashed id is
-    smallest; whole texts are taken. Rows with a null id or null label are
-    ignored; a document with several labels counts as toxic if one of them is.
+    smallest; whole texts are taken, one (the first in order) where rows repeat an
+    id. Rows with a null id or null label are ignored; a document with several
+    labels counts as toxic if one of them is.
     """
     from .queries import held_out
 
@@ -229,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     picked = [lab.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(sample, "_id").select("text", "_y").collect()
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(sample, "_id").groupBy("_id").agg(F.min("text"), F.max("_y")).drop("_id").collect()
     positive = sum(n for y, n in counts.items() if y > 0)
     return train([(r[0], int(r[1] > 0)) for r in rows], positive / max(1, sum(counts.values())))
 
@@ -255,7 +270,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _scorer(model)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f(t.as_py() for t in b.column(1)), pa.float64())], ["doc_id", "score"])
 
     src = docs.select("doc_id", "text")
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
