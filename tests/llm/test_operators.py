@@ -1,11 +1,14 @@
 """Operators against brute force on small fixtures with nulls, ties, repeated rows and empty tables."""
 
+import base64
+import hashlib
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from vakya.llm import chat, components, decontaminate, hnsw, licenses, sharding, simhash, toxicity, warc
+from vakya.llm import chat, common, components, decontaminate, hnsw, licenses, sharding, simhash, toxicity, warc
 
 
 def test_simhash_components_match_all_pairs(spark):
@@ -68,16 +71,26 @@ def test_sharding(spark):
     assert all(r["grown_shard"] in (r["shard"], 3) for r in out)
 
 
-def test_chat_round_trip_and_parts(spark):
+def test_chat_round_trip_and_parts(spark, monkeypatch):
     texts = [r"\### Assistant: </turn> ok", "", "a\\", "### ### </turn></turn>\n", "<|image:0|>", "#### x", "<\\/turn>"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, None, None, "x")]
     t = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
     part = F.struct(F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("ref"))
-    f = chat.format_turns(t.withColumn("parts", F.array(part)))
-    back = {(r["conv_id"], r["turn"]): (r["role"], r["text"], r["loss_text"]) for r in chat.read_turns(f).collect()}
-    assert back == {(c, i): (r or "", x, x if r == "assistant" else "") for c, i, r, x in rows}
+    def read():
+        whole = chat.conversations(chat.format_turns(t.withColumn("parts", F.array(part))))
+        return {r["conv_id"]: ([tuple(x) for x in r["turns"]], r["loss"]) for r in chat.read_back(whole).collect()}
+
+    want = {c: ([(r or "", x) for k, i, r, x in rows if k == c], [x if r == "assistant" else "" for k, i, r, x in rows if k == c]) for c in (1, 2)}
+    assert read() == want
+    with monkeypatch.context() as m:  # the result hangs on the escaping
+        m.setattr(chat, "escape", lambda c: c)
+        m.setattr(chat, "unescape", lambda c: c)
+        assert read()[1] != want[1]
+    assert chat.digest(chat.read_back(chat.conversations(chat.format_turns(t.limit(0).withColumn("parts", F.array(part)))))).count() == 0
     mixed = spark.sql("""select 1 conv_id, 0 turn, 'user' role, array(named_struct('kind', 'text', 'text', 'see ', 'ref', null), named_struct('kind', 'image', 'text', null, 'ref', 'a.png'),
         named_struct('kind', 'audio', 'text', null, 'ref', 'b.wav'), null) parts""").selectExpr("conv_id", "turn", "role", f"cast(parts as {chat.PART_TYPE}) parts")
+    other = mixed.select("conv_id", "turn", "role", F.array(F.struct(F.lit("a|>b").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit("r").alias("ref"))).alias("parts"))
+    assert tuple(chat.format_turns(other).select("formatted", "attachment_tokens").first()) == ("### user: <|a|>b:0|></turn>\n", 0)
     r = chat.format_turns(mixed).first()
     assert r["formatted"] == "### user: see <|image:0|><|audio:1|></turn>\n"
     assert [(a["n"], a["kind"], a["ref"]) for a in r["attachments"]] == [(0, "image", "a.png"), (1, "audio", "b.wav")]
@@ -88,12 +101,24 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(2, "u", "x" * 100_000), (1, "u\nv", "x" * 100_000), (3, None, None), (4, "w", ""), (5, "é", "é")], "page_id bigint, url string, html string")
     got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive(pages).collect()}
     assert got == {1: (100_000, "response", None), 2: (100_000, "revisit", 1), 3: (0, "response", None), 4: (0, "revisit", 3), 5: (2, "response", None)}
+    digests = {r["page_id"]: r["payload_digest"] for r in warc.archive(pages.withColumn("bundle", F.lit(1))).collect()}
+    own = {1: b"x" * 100_000, 2: b"x" * 100_000, 3: b"", 4: b"", 5: "é".encode()}
+    assert digests == {k: base64.b32encode(hashlib.sha1(v).digest()).decode() for k, v in own.items()}
     assert warc.archive(pages.limit(0)).count() == 0
     m = warc.write(pages, "file://" + str(tmp_path)).where("page_id = 5").first()
     data = open(m["bundle"], "rb").read()
     assert warc.read_record(data, m["frame"], m["record_start"], m["record_bytes"]).endswith("\r\n\r\né\r\n\r\n".encode())
 
 
+def test_warc_reads_frames_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_FRAMES", 1)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 2000)
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 50).alias("html"))
+    got = warc.archive(pages)
+    assert got.rdd.getNumPartitions() > 1
+    assert {(r["page_id"], r["payload_bytes"]) for r in got.collect()} == {(i, 50 * len(str(i))) for i in range(300)}
+
+
 def test_warc_keeps_repeated_rows(spark, monkeypatch):
     one = spark.createDataFrame([(i, f"u{i}", f"page {i}") for i in range(50)], "page_id bigint, url string, html string").coalesce(1)
     assert warc.archive(one.union(one).union(one)).groupBy("page_id").count().where("count = 3").count() == 50
@@ -242,3 +267,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(got) == 603 and all(0 <= s <= 1 for s in got.values()) and got[900] == got[901]
     assert np.mean([(got[i] >= 0.3) == bool(y) for i, y in labels]) > 0.97
     assert toxicity.fit(docs, lab.limit(0)).prior == 0.0
+
+
+def test_license_columns_match_brute_force(spark):
+    texts = ["Released under the MIT License, or the mit license. CC-BY, cc by 4.0", "x gnu GENERAL public license y", "apache  license\napache license mit", "cc  by-nc", "", None, "é mit license", "word " * 70_000 + "mit license"]
+    docs = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(texts)] + [(2, texts[2], "z", 1)], "doc_id int, text string, spans string, score int")
+    out = licenses.scan(docs).collect()
+    assert len(out) == len(texts) + 1 and licenses.scan(docs.limit(0)).count() == 0
+    for r in out:
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in texts[r["doc_id"]] or ""))
+        places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
+        at = [i for i, _ in places]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(ws), len(at), min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+
+
+def test_license_siblings_are_told_apart(spark):
+    cases = {
+        "Licensed under CC BY 4.0": {"cc-by", "cc-by-4"}, "Licensed under CC BY-NC 4.0": {"cc-by", "cc-by-nc-4"},
+        "This work is licensed under the GNU General Public License version 2": {"gpl", "gpl-2"}, "This work is licensed under the GNU General Public License version 3": {"gpl", "gpl-3"},
+        "This work is licensed under the GNU General Public License version 1": {"gpl"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {"cc-by-nc-notice"},
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": {"cc-by-notice"},
+        "Licensed under the Apache License, Version 2.0": {"apache", "apache-2"},
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")).collect()
+    assert {list(cases)[r["doc_id"]]: set(r["labels"].split(",")) for r in got} == cases
+
+
+def test_hot_join_equals_a_join(spark):
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    want = {(r["id"], r["least"]) for r in left.join(right, "k").collect()}
+    got = [(r["id"], r["least"]) for r in common.hot_join(left, right, "k", 5000).collect()]
+    assert len(got) == 5000 and set(got) == want

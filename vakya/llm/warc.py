@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import hot_join, materialise, scratch_path
 
 FRAME_BYTES = 1 << 16
 #: A bundle is closed once it holds so much payload.
 BUNDLE_BYTES = 64 << 20
+#: Frames of a bundle that one task reads.
+READ_FRAMES = 128
 #: Fixed values of the seekable format.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _DATE = "2024-01-01T00:00:00Z"
@@ -96,6 +98,25 @@ def read_record(data: bytes, frame: int, start: int, size: int) -> bytes:
     return zs.ZstdDecompressor().decompress(data[at : at + c], max_output_size=d)[start : start + size]
 
 
+class BundleReader:
+    """Random access to an open bundle: its seek table is read once, then single frames."""
+
+    def __init__(self, file):
+        import zstandard as zs
+
+        self.file, self.zs = file, zs.ZstdDecompressor()
+        size = file.size()
+        file.seek(size - 9)
+        n = struct.unpack("<IBI", file.read(9))[0]
+        file.seek(size - 9 - 8 * n)
+        self.frames = seek_table(file.read(9 + 8 * n))
+
+    def frame(self, number: int) -> bytes:
+        at, c, d = self.frames[number]
+        self.file.seek(at)
+        return self.zs.decompress(self.file.read(c), max_output_size=d)
+
+
 def _parse(frame: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(frame):
@@ -119,9 +140,9 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha1(payload).alias("hex"))
-    first = own.groupBy("hex").agg(F.min("page_id").alias("_first"))
+    first = own.groupBy("hex").agg(F.min("page_id").alias("_first"), F.count("*").alias("n"))
     other = (F.col("payload_bytes") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return own.join(first, "hex").select("page_id", "payload_bytes", "hex", F.when(other, F.col("_first")).alias("refers_to"))
+    return hot_join(own, first, "hex", pages.count()).select("page_id", "payload_bytes", "hex", F.when(other, F.col("_first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -177,30 +198,42 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """Read all records back from the bundles of a manifest, frame by frame."""
+    """Fetch every record of a manifest from its bundle, by its frame and its place in it.
+
+    The manifest is dealt by bundle and stretch of frames to as many tasks as there are stretches, so
+    that a task reads about READ_FRAMES frames, each once.
+    """
+    stretch = F.floor(F.col("frame") / READ_FRAMES)
+    places = manifest.select("bundle", "frame", "record_start", "record_bytes", stretch.alias("stretch"))
+    parts = max(1, places.select("bundle", "stretch").distinct().count())
+    dealt = places.repartition(parts, "bundle", "stretch").sortWithinPartitions("bundle", "frame", "record_start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard as zs
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(folder)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        open_name, open_frame, reader, frame = None, None, None, b""
         for b in batches:
-            for name in b.column(0).to_pylist():
-                with store.open_input_stream(name, compression=None) as f:
-                    data = f.read()
-                d = zs.ZstdDecompressor()
-                for at, c, n in seek_table(data):
-                    out = []
-                    for head, payload in _parse(d.decompress(data[at : at + c], max_output_size=n)):
-                        revisit = head["WARC-Type"] == "revisit"
-                        key, ref = (head.get(k, "").rpartition(":")[2].rstrip(">") for k in ("WARC-Record-ID", "WARC-Refers-To"))
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else sha1_base32(payload)
-                        out.append((int(key) if key else None, int(head["X-Payload-Bytes"]) if revisit else len(payload), digest, head["WARC-Type"], int(ref) if ref else None))
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    names = manifest.select("bundle").distinct()
-    return names.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+            out = []
+            for name, number, start, size in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if name != open_name:
+                    if reader is not None:
+                        reader.file.close()
+                    reader, open_name, open_frame = BundleReader(store.open_input_file(name)), name, None
+                if number != open_frame:
+                    frame, open_frame = reader.frame(number), number
+                for head, payload in _parse(frame[start : start + size]):
+                    revisit = head["WARC-Type"] == "revisit"
+                    key, ref = (head.get(k, "").rpartition(":")[2].rstrip(">") for k in ("WARC-Record-ID", "WARC-Refers-To"))
+                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else sha1_base32(payload)
+                    out.append((int(key) if key else None, int(head["X-Payload-Bytes"]) if revisit else len(payload), digest, head["WARC-Type"], int(ref) if ref else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if reader is not None:
+            reader.file.close()
+
+    return dealt.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
