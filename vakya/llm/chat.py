@@ -2,7 +2,8 @@
 
 A turn is ``### role: text</turn>`` and a line end. Inside texts and roles the
 backslash is doubled and each control string is broken by a backslash, so the
-bare markers occur nowhere else and reading back is exact.
+bare markers occur nowhere else. A conversation is one text with a loss mask;
+reading back cuts that text at its bare markers.
 """
 
 from __future__ import annotations
@@ -33,10 +34,9 @@ def visit_parts(parts: Column) -> Column:
     """Flatten typed parts, in order, into text, attachments and expanded tokens.
 
     Texts are escaped; an image, audio or document part becomes the placeholder
-    ``<|kind:n|>``, n counting the attachments from 0. An unknown kind raises an
-    error. Null parts and null texts are empty.
+    ``<|kind:n|>``, n counting the attachments from 0. A part of another kind is an
+    attachment of no tokens. Null parts and null texts are empty.
     """
-    kinds = F.array(*map(F.lit, PART_TOKENS))
     clean = F.filter(parts, lambda p: p.isNotNull())
     attached = F.filter(clean, lambda p: F.coalesce(p["kind"], F.lit("text")) != "text")
 
@@ -44,8 +44,7 @@ def visit_parts(parts: Column) -> Column:
         n = F.size(F.filter(F.slice(clean, 1, i), lambda q: F.coalesce(q["kind"], F.lit("text")) != "text"))
         return (
             F.when(F.coalesce(p["kind"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit(""))))
-            .when(F.array_contains(kinds, p["kind"]), F.concat(F.lit("<|"), p["kind"], F.lit(":"), n.cast("string"), F.lit("|>")))
-            .otherwise(F.raise_error(F.concat(F.lit("unknown part kind "), p["kind"])).cast("string"))
+            .otherwise(F.concat(F.lit("<|"), escape(p["kind"]), F.lit(":"), n.cast("string"), F.lit("|>")))
         )
 
     def tokens(kind: str) -> Column:
@@ -78,42 +77,44 @@ def format_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def read_turns(formatted: DataFrame) -> DataFrame:
-    """Read role, text and the text under the loss mask back from formatted turns."""
-    body = F.substring(F.col("formatted"), F.lit(len(OPEN) + 1), F.length("formatted") - len(OPEN) - len(CLOSE))
-    cut = F.instr(F.col("body"), COLON)
-    return formatted.withColumn("body", body).withColumn("cut", cut).select(
-        "conv_id", "turn", "formatted",
-        unescape(F.substring(F.col("body"), F.lit(1), F.col("cut") - 1)).alias("role"),
-        unescape(F.substring(F.col("body"), F.col("cut") + len(COLON), F.length("body"))).alias("text"),
-        unescape(F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_len"))).alias("loss_text"),
+def conversations(formatted: DataFrame) -> DataFrame:
+    """conv_id, text and mask of every conversation: its turns in order, and what is under the loss.
+
+    Turns are ordered by turn (null first), then role marker and text. The mask has an
+    entry for every turn: start within the turn and length, length 0 where no loss falls. Turns
+    are put together CHUNK turn numbers at a time, then by conversation.
+    """
+    row = F.struct("turn", "formatted", "loss_start", "loss_len")
+    part = (
+        formatted.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+        .select("conv_id", F.struct(
+            "chunk", F.array_join(F.col("rows.formatted"), "").alias("text"),
+            F.transform("rows", lambda r: F.struct(r["loss_start"].alias("start"), r["loss_len"].alias("len"))).alias("mask")).alias("part"))
     )
+    whole = part.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return whole.select("conv_id", F.array_join(F.col("parts.text"), "").alias("text"), F.flatten("parts.mask").alias("mask"))
 
 
-def digest(turns: DataFrame) -> DataFrame:
-    """Per conversation: turn count and the digests of its turns and of its loss text.
+def read_back(whole: DataFrame) -> DataFrame:
+    """conv_id, formatted_chars, turns (role and text) and loss (the text under the mask, turn by turn) of conversations.
 
-    Turns are ordered by turn (null first), then role and text. They are
-    put together CHUNK turn numbers at a time, then by conversation.
+    Roles and texts come from the conversation's text alone, which is cut at its bare markers.
     """
-    row = F.struct("turn", "role", "text", "loss_text", F.length("formatted").alias("n"))
+    pieces = F.split("text", CLOSE)
+    cut = whole.select("conv_id", F.length("text").cast("bigint").alias("formatted_chars"), F.slice(pieces, 1, F.size(pieces) - 1).alias("cut"), "mask")
 
-    def joined(rows: Column, f) -> Column:
-        return F.array_join(F.transform(rows, f), "")
+    def turn(t: Column) -> Column:
+        colon = F.instr(t, COLON)
+        return F.struct(
+            unescape(F.substring(t, F.lit(len(OPEN) + 1), colon - 1 - len(OPEN))).alias("role"),
+            unescape(F.substring(t, colon + len(COLON), F.length(t))).alias("text"))
 
-    part = (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-        .select("conv_id", "chunk", F.size("rows").alias("k"),
-                joined(F.col("rows"), lambda r: F.concat(r["role"], F.lit("\n"), r["text"], F.lit("\n"))).alias("turns"),
-                joined(F.col("rows"), lambda r: r["loss_text"]).alias("loss"),
-                F.aggregate("rows", F.lit(0).cast("bigint"), lambda a, r: a + r["n"]).alias("n"))
-    )
-    whole = part.groupBy("conv_id").agg(
-        F.sum("k").cast("bigint").alias("n_turns"), F.sum("n").alias("formatted_chars"),
-        F.sort_array(F.collect_list(F.struct("chunk", "turns", "loss"))).alias("parts"),
-    )
-    return whole.select(
-        "conv_id", "n_turns", F.sha2(joined(F.col("parts"), lambda p: p["turns"]), 256).alias("turns_sha256"),
-        F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p["loss"])).alias("loss_chars"),
-        F.sha2(joined(F.col("parts"), lambda p: p["loss"]), 256).alias("loss_sha256"), "formatted_chars",
-    )
+    masked = F.zip_with("cut", "mask", lambda t, m: F.coalesce(unescape(F.substring(t, m["start"] + 1, m["len"])), F.lit("")))
+    return cut.select("conv_id", "formatted_chars", F.transform("cut", turn).alias("turns"), masked.alias("loss"))
+
+
+def digest(read: DataFrame) -> DataFrame:
+    """Per conversation: turn count, length of the formatted text, and the digests of its turns and of its loss text."""
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.array_join("loss", "").alias("loss"), "formatted_chars").select(
+        "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

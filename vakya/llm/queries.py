@@ -44,7 +44,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     part = F.struct(F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"))
-    return chat.digest(chat.read_turns(chat.format_turns(turns.unionByName(more).withColumn("parts", F.array(part)))))
+    return chat.digest(chat.read_back(chat.conversations(chat.format_turns(turns.unionByName(more).withColumn("parts", F.array(part))))))
 
 
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +91,9 @@ ORACLES = {
         e as (select *, replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '##\# '), '<|', '<\|') as esc,
                      replace(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '##\# '), '<|', '<\|'), ': ', ':\ ') as erole from t)
         select conv_id, count(*) as n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, erole || ': ' || esc)) as turns_sha256,
             cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
-            sha256(coalesce(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls first, role, text), '')) as loss_sha256,
+            sha256(coalesce(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls first, erole || ': ' || esc), '')) as loss_sha256,
             cast(sum(4 + length(erole) + 2 + length(esc) + 8) as bigint) as formatted_chars
         from e group by conv_id""",
 }
