@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which every executor sees.
 
-    Only where the session leaves it unset (tests on one machine) is a
-    temporary folder made and recorded in the session.
+    Only where a session on one machine leaves it unset is a temporary folder
+    made and recorded in the session; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vakya-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,3 +38,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join on ``key`` with ``right``, which has one row a key and, in ``n``, how many of ``left``'s ``rows`` have it.
+
+    Keys with over a thousandth of the rows, of which there are fewer than a thousand, are
+    broadcast, so that none is gathered in a task; the others are joined by shuffling.
+    """
+    hot = F.broadcast(right.where(F.col("n") * 1000 > rows).drop("n"))
+    rest = right.where(F.col("n") * 1000 <= rows).drop("n")
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of (a, b) but the roots; a root is its component's smallest node.
 
-    Only edge tables move between executors; each round is written to the
+    The centre of a star isn't gathered in a task. Only edge tables move between executors; each round is written to the
     shared folder. An error is raised if ``most_rounds`` aren't enough.
     """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
+    last, rows = None, e.count()
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = hot_join(both.where("b > a"), low, "a", 2 * rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, low, "a", rows)
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = materialise(small.distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = now
+        last, rows = now, now[0]
     raise RuntimeError("components did not settle")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 from .components import connected
 
 MAX_DISTANCE, GROUPS, SHINGLE = 4, 7, 4
@@ -266,11 +266,12 @@ def components(docs: DataFrame, distance: int = MAX_DISTANCE, groups: int = GROU
     Null texts are empty. Null ids are rows like others but never a component's id.
     """
     own = materialise(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     root = connected(links(distinct.select("fp"), distance, groups))
-    rooted = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    found = hot_join(rooted.select("fp", "root", F.col("n").alias("copies")), lowest, "root", distinct.count())
+    return hot_join(own, found.select("fp", "component_id", F.col("copies").alias("n")), "fp", own.count()).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import materialise
+from .common import hot_join, materialise
 from .components import connected
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -216,12 +216,12 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     own = materialise(sketches(docs, shingle, similarity), "sketches")
-    nodes = materialise(own.groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("n")).select("fp", "n.doc_id", "n.keys"), "nodes")
+    nodes = materialise(own.groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("least"), F.count("*").alias("n")).select("fp", "least.doc_id", "least.keys", "n"), "nodes")
     by_bits = connected(simhash.links(nodes.select("fp")))
     edges = [nodes.join(by_bits, nodes["fp"] == by_bits["node"]).select("doc_id", "root").join(
         nodes.select(F.col("fp").alias("root"), F.col("doc_id").alias("b")), "root").select(F.col("doc_id").alias("a"), "b"),
         # Fingerprints of one id, where rows repeat it, and ids of one fingerprint.
-        own.join(nodes.select("fp", F.col("doc_id").alias("b")), "fp").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()]
+        hot_join(own, nodes.select("fp", F.col("doc_id").alias("b"), "n"), "fp", own.count()).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()]
 
     rows = nodes.select(F.col("doc_id").alias("a"), F.explode("keys").alias("key")).distinct()
     stars = materialise(_stars(rows), "stars")
