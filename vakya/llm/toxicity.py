@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SAMPLE_PER_CLASS = 2500
 #: Bytes of the background and of a class's own part, and the most samples that each is trained on.
 BASE_BYTES, PART_BYTES = 16_000, 4_000
-BASE_SAMPLES, PART_SAMPLES = 60_000, 60_000
+BASE_SAMPLES, PART_SAMPLES = 40_000, 20_000
 #: Bytes of the segments that the trainer picks for each.
 BASE_SEGMENT, PART_SEGMENT = 50, 48
 #: Fewest texts of a class to train on: its halves take turns at dictionaries and calibration.
