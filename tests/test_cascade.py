@@ -34,7 +34,7 @@ def test_each_filter_and_precedence(spark, tmp_path):
 
 
 def test_features_and_variants(spark, tmp_path):
-    passed = cascade.classify(read_conllu(spark, corpus(tmp_path))).where("stage is null").selectExpr("1L as doc_id", "*")
+    passed = cascade.classify(read_conllu(spark, corpus(tmp_path))).where("stage is null")
     f = cascade.passed_features(passed).first()
     assert (f["Phrase_Count"], f["Sentence_Length"], f["Deprel_Tags"]) == (3, 5, ["k1", "k2", "vmod"])
     rows = variants.labelled(variants.generate(passed, None)).orderBy("v").collect()
@@ -57,7 +57,7 @@ def test_entry_imports_without_the_training_data_package():
 
 
 def test_orders_in_arrays_and_in_batches_agree(spark, tmp_path, monkeypatch):
-    passed = cascade.classify(read_conllu(spark, corpus(tmp_path))).where("stage is null").selectExpr("1L as doc_id", "*")
+    passed = cascade.classify(read_conllu(spark, corpus(tmp_path))).where("stage is null")
     native = variants.generate(passed, ["k1\tk2", "k2\tvmod", "vmod\tk1"], max_variants=9).collect()
     monkeypatch.setattr(variants, "NATIVE", 1)
     assert native and variants.generate(passed, ["k1\tk2", "k2\tvmod", "vmod\tk1"], max_variants=9).collect() == native
@@ -68,6 +68,6 @@ def test_orders_in_arrays_and_in_batches_agree(spark, tmp_path, monkeypatch):
 def test_dependency_length_by_hand(spark, tmp_path):
     from vakya.operators import scorers
 
-    passed = cascade.classify(read_conllu(spark, corpus(tmp_path))).where("stage is null").selectExpr("1L as doc_id", "*")
+    passed = cascade.classify(read_conllu(spark, corpus(tmp_path))).where("stage is null")
     r = scorers.dependency_length(variants.labelled(variants.generate(passed, None))).orderBy("v").first()
     assert r["Ref_Features"] == [3, 0, 1, 1, 1] and r["Var_Features"] == [3, 0, 1, 1, 1] and r["Delta_DL"] == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import evaluation_catalog, trees_catalog
+from . import evaluation_catalog, recipes_catalog, trees_catalog
 from .operators import cascade, metrics, scorers, variants
 from .sources.treebank import SQL, treebank
 
@@ -86,7 +86,7 @@ def language_v_measure(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (filter_passed, filter_rejected, filter_counts, filter_summary, phrase_histogram, licensed_bigrams, variant_pairs, score_dependency_length,
            score_information_status, relation_frequency, event_frequency, label_precision, language_v_measure)
-    return {f.__name__: f for f in own} | trees_catalog.queries() | evaluation_catalog.queries()
+    return {f.__name__: f for f in own} | trees_catalog.queries() | evaluation_catalog.queries() | recipes_catalog.queries()
 
 
 _CLASSES = SQL + r""",
@@ -98,7 +98,7 @@ mem as (select t.sent_id, t.i, t.form, t.lemma, t.upos, t.head, case when t.head
     from tok t join root r using (sent_id) where t.i < r.root_id),
 cnt as (select sent_id, count(*) as m, bool_or(deprel = 'punct') as punct from chunk group by sent_id),
 cls as (select sent_id, any_value(doc_id) as doc_id, any_value(k) as k, any_value(text) as text, any_value(n) as n,
-    case when bool_or(upos = 'WQ') then 1 when bool_or(upos = 'NEG') then 2 when bool_or(id is null) then 3
+    case when contains(any_value(text), '?') or bool_or(upos = 'WQ' or prontype is not null) then 1 when bool_or(upos = 'NEG' or polarity is not null) then 2 when bool_or(id is null) then 3
         when any_value(x.sent_id) is not null then 4 when any_value(root_id) is null or any_value(root_pos) <> 'VM' then 5
         when coalesce(any_value(punct), false) then 6 when coalesce(any_value(m), 0) < 2 then 7 end as stage,
     any_value(root_id) as root_id, any_value(root_pos) as root_pos, any_value(m) as m
@@ -108,7 +108,7 @@ _NAMES = "(values (1, 'Question'), (2, 'Negative Sentence'), (3, 'Ghost IDs'), (
 
 
 def oracle_sql() -> dict[str, str]:
-    return trees_catalog.oracle_sql() | evaluation_catalog.oracle_sql() | {
+    return trees_catalog.oracle_sql() | evaluation_catalog.oracle_sql() | recipes_catalog.oracle_sql(_CLASSES) | {
         "filter_passed": _CLASSES + r""", part as (select sent_id, c, count(*) as len from mem join cls using (sent_id) where stage is null group by sent_id, c),
             lst as (select p.sent_id, list(len order by c) as lens, list(deprel order by c) as ds from part p join chunk using (sent_id, c) group by p.sent_id)
             select sent_id as Sent_ID, text as Sentence, root_id as Root_ID, m as Phrase_Count, length(text) as Character_Length, n as Sentence_Length,
@@ -120,7 +120,7 @@ def oracle_sql() -> dict[str, str]:
             from cls join {_NAMES} using (stage)""",
         "filter_counts": _CLASSES + f" select stage, filter, coalesce(c, 0) as rejected from {_NAMES} left join (select stage, count(*) as c from cls where stage is not null group by stage) using (stage)",
         "filter_summary": _CLASSES + """ select count(*) as total_input, count(*) filter (stage is null) as total_passed, count(stage) as total_rejected,
-            round(count(*) filter (stage is null) / count(*), 4) as pass_rate, round(avg(n) filter (stage is null), 2) as avg_sentence_length, round(avg(m) filter (stage is null), 2) as avg_phrase_count from cls""",
+            round_even(count(*) filter (stage is null) / count(*), 4) as pass_rate, round_even(avg(n) filter (stage is null), 2) as avg_sentence_length, round_even(avg(m) filter (stage is null), 2) as avg_phrase_count from cls""",
         "phrase_histogram": _CLASSES + " select m as phrases, count(*) as n from cls where stage is null group by m",
         "licensed_bigrams": _CLASSES + """ select distinct a, b from (select deprel as a, lead(deprel) over (partition by sent_id order by c) as b from chunk join cls using (sent_id) where stage is null) where b is not null""",
         "relation_frequency": SQL + " select upos as cond, deprel as value, count(*) as n, round(count(*) / sum(count(*)) over (partition by upos), 9) as p from tok group by upos, deprel",

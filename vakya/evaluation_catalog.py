@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluation, lines, trees
+from .operators import grammar, evaluation, lines, trees
 from .sources.treebank import SQL, treebank
 
 
@@ -35,7 +35,9 @@ def feature_lines(spark, sf_dir):
 
 
 def unbalanced_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Brackets around every word of some lengths, of which some lack their other half."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.expr(
+        "array_join(transform(split(text, ' '), w -> if(length(w) = 7, concat('(', w, ')'), if(length(w) = 9 and doc_id % 3 = 0, concat('(', w), if(length(w) = 11 and doc_id % 5 = 0, concat(w, ')'), w)))), ' ')"))
     return d.select("doc_id", lines.unbalanced("text").alias("state")).where("state is not null")
 
 
@@ -69,7 +71,7 @@ _SHAPE = ("'UNK' || case when regexp_matches(form, '^[A-Z]') then case when caps
           " when size < 5 or dash or (digit and caps > 0) then '' " + " ".join(f"when ends_with(low, '{s}') then '-{s}'" for s in lines.SHAPE_SUFFIXES) + " else '' end")
 
 
-_ENDING = ("case " + " ".join(f"when ends_with(form, '{s}') then '!unk!{s}'" for s in lines.SUFFIXES)
+_ENDING = ("case " + " ".join(f"when ends_with(form, '{s}') then '!unk!{s}'" for s in grammar.SUFFIXES)
            + " when regexp_matches(form, '^[A-Z]') then '!unk!cap' when regexp_matches(form, '^[0-9]') then '!unk!num' else '!unk!' end")
 
 
@@ -85,7 +87,9 @@ def oracle_sql() -> dict[str, str]:
                 case when l.c >= {lines.MIN_COUNT} then 'lang&' || lang || '=1' end) end as features, case when s.c >= {lines.MIN_COUNT} then 'source&' || source else 'source&bot' end as label
             from documents join s using (source) join l using (lang)""",
         "feature_lines": r"select doc_id as id, concat_ws(chr(9), doc_id::varchar, 'source&' || source, 'source&' || source || ' lang&' || lang) as line from documents",
-        "unbalanced_documents": """with m as (select doc_id, string_split(regexp_replace(text, '[^()]', '', 'g'), '') as marks from documents),
+        "unbalanced_documents": """with w as (select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: case when length(w) = 7 then '(' || w || ')'
+                when length(w) = 9 and doc_id % 3 = 0 then '(' || w when length(w) = 11 and doc_id % 5 = 0 then w || ')' else w end), ' ') as text from documents),
+            m as (select doc_id, string_split(regexp_replace(text, '[^()]', '', 'g'), '') as marks from w),
             u as (select doc_id, unnest(marks) as c, generate_subscripts(marks, 1) as i from m),
             d as (select doc_id, i, sum(case c when '(' then 1 when ')' then -1 else 0 end) over (partition by doc_id order by i) as depth from u)
             select doc_id, case when min(depth) < 0 then 'extra' else 'missing' end as state from d group by doc_id having min(depth) < 0 or arg_max(depth, i) > 0""",

@@ -39,11 +39,19 @@ def classify(sentences: DataFrame, root_pos: tuple[str, ...] = ROOT_POS, min_phr
         raise ValueError("min_phrases must be at least 1")
     s = with_constituents(sentences)
     allowed = "/".join(root_pos)
-    tests = [
-        (F.col("text").contains("?") | F.expr("exists(tokens, t -> t.upos = 'WQ' or t.feats['PronType'] = 'Int')"), F.lit("Question")),
-        (F.expr("exists(tokens, t -> t.upos = 'NEG' or t.feats['Polarity'] = 'Neg')"), F.lit("Negative Sentence")),
-        (F.expr("exists(tokens, t -> t.id is null)"), F.lit("Ghost IDs")),
-        (crossing(), F.lit("Non-Projective Tree")),
+    cheap = [
+        F.col("text").contains("?") | F.expr("exists(tokens, t -> t.upos = 'WQ' or t.feats['PronType'] = 'Int')"),
+        F.expr("exists(tokens, t -> t.upos = 'NEG' or t.feats['Polarity'] = 'Neg')"),
+        F.expr("exists(tokens, t -> t.id is null)"),
+    ]
+    early = F.lit(None).cast("int")
+    for k, test in reversed(list(enumerate(cheap, 1))):
+        early = F.when(F.coalesce(test, F.lit(False)), k).otherwise(early)
+    # Arcs are compared pair by pair only where the flat tests reject nothing, and once.
+    s = settled(s, _early=early)
+    s = settled(s, _crossed=F.when(F.col("_early").isNull(), crossing()))
+    tests = [*((F.col("_early") == k, F.lit(name)) for k, name in enumerate(STAGES[:3], 1)),
+        (F.col("_crossed"), F.lit("Non-Projective Tree")),
         (~F.col("has_root") | ~F.coalesce(F.col("root_pos").isin(*root_pos), F.lit(False)),
          F.when(~F.col("has_root"), "Bad Root: No root token found").otherwise(F.concat(F.lit("Bad Root: Root POS is '"), F.coalesce("root_pos", F.lit("None")), F.lit(f"', expected {allowed}")))),
         (F.expr("exists(flatten(constituents), t -> t.head = root_id and t.deprel = 'punct')"), F.lit("Punctuation Constituent")),
@@ -54,7 +62,7 @@ def classify(sentences: DataFrame, root_pos: tuple[str, ...] = ROOT_POS, min_phr
         hit = F.coalesce(test, F.lit(False))
         stage = F.when(hit, k) if stage is None else stage.when(hit, k)
         reason = F.when(hit, text) if reason is None else reason.when(hit, text)
-    return s.withColumn("stage", stage).withColumn("reason", reason)
+    return s.withColumn("stage", stage).withColumn("reason", reason).drop("_early", "_crossed")
 
 
 def rejected(classified: DataFrame) -> DataFrame:
@@ -99,5 +107,5 @@ def summary(classified: DataFrame) -> DataFrame:
         F.count("*").alias("total_input"), F.count(F.when(passed, 1)).alias("total_passed"), F.count("stage").alias("total_rejected"),
         F.avg(F.when(passed, F.expr("size(filter(tokens, t -> t.id is not null))"))).alias("len"), F.avg(F.when(passed, F.size("constituents"))).alias("phr"))
     return a.select("total_input", "total_passed", "total_rejected",
-                    F.coalesce(F.round(F.try_divide(F.col("total_passed"), F.col("total_input")), 4), F.lit(0.0)).alias("pass_rate"),
-                    F.coalesce(F.round("len", 2), F.lit(0.0)).alias("avg_sentence_length"), F.coalesce(F.round("phr", 2), F.lit(0.0)).alias("avg_phrase_count"))
+                    F.coalesce(F.bround(F.try_divide(F.col("total_passed"), F.col("total_input")), 4), F.lit(0.0)).alias("pass_rate"),
+                    F.coalesce(F.bround("len", 2), F.lit(0.0)).alias("avg_sentence_length"), F.coalesce(F.bround("phr", 2), F.lit(0.0)).alias("avg_phrase_count"))

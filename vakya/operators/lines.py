@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grammar import SUFFIXES
+from .grammar import suffix_signature as ending_signature
 
 #: Features and labels seen less often are backed off (fixed value).
 MIN_COUNT = 100
@@ -29,14 +29,6 @@ def shape_signature(word: str = "word") -> Column:
     return F.concat(F.lit("UNK"), case, F.when(digit, "-NUM").otherwise(""), F.when(dash, "-DASH").otherwise(""), ending.otherwise(""))
 
 
-def ending_signature(word: str = "word") -> Column:
-    """Signature of an unknown word: its ending, else a capital or a digit in front, else ``!unk!``."""
-    sig = F.when(F.col(word).endswith(SUFFIXES[0]), "!unk!" + SUFFIXES[0])
-    for s in SUFFIXES[1:]:
-        sig = sig.when(F.col(word).endswith(s), "!unk!" + s)
-    return sig.when(F.col(word).rlike("^[A-Z]"), "!unk!cap").when(F.col(word).rlike("^[0-9]"), "!unk!num").otherwise("!unk!")
-
-
 def min_count_pruned(items: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """Rows of id, features (array) and label with rare features dropped and rare labels backed off.
 

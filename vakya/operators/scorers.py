@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.barrier import settled
+from . import registry
 
 #: Annotation schemes: relations and tags that scorers look for (fixed values).
 SCHEMES = {
@@ -74,3 +75,7 @@ def information_status(variants: DataFrame, corpus: DataFrame, scheme_name: str
     v = v.withColumn("IS_Reference", F.expr(f"if({both}, if(_s < _o, _d, -_d), 0)"))
     v = v.withColumn("IS_Variant", F.expr(f"if({both}, if(array_position(perm, _s) < array_position(perm, _o), _d, -_d), 0)"))
     return v.withColumn("Delta_IS", delta("IS_Reference", "IS_Variant")).drop("context", "_h", "_s", "_o", "_d")
+
+
+registry.scorer("dependency_length")(dependency_length)
+registry.scorer("information_status")(information_status)

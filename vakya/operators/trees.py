@@ -57,7 +57,7 @@ def lexicon_counts(trees: DataFrame, tree: str = "tree") -> DataFrame:
 def chunk_trees(sentences: DataFrame) -> DataFrame:
     """sent_id, tree: phrases are chunks (misc ChunkId), own tokens first and child chunks after.
 
-    A chunk's label is its id without digits at the end; its head is the first
+    A chunk's label is its id without digits at the end (a name of digits only stays); its head is the first
     token marked ``head``, else its first. Without ids all tokens are one chunk ``none``.
     """
 
@@ -82,7 +82,7 @@ def chunk_trees(sentences: DataFrame) -> DataFrame:
             seen.add(c)
             pos = [t["xpos"] if t["xpos"] not in (None, "", "_") else t["upos"] for t in chunks[c]]
             parts = [f"({p} {t['form']})" for p, t in zip(pos, chunks[c])] + [build(k) for k in kids.get(c, []) if k not in seen]
-            return f"({c.rstrip('0123456789')} {' '.join(parts)})"
+            return f"({c.rstrip('0123456789') or c} {' '.join(parts)})"
 
         made = build(root)
         return made if made.startswith("(S ") else f"(S {made})"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Iterator
 
@@ -16,7 +17,8 @@ from .cascade import bigrams, deprels
 
 #: All orders are enumerated up to so many constituents; beyond, orders are sampled.
 EXHAUSTIVE, SAMPLES, ATTEMPTS = 8, 500, 100_000
-NATIVE = 5
+#: Orders of so few constituents are made in array functions, unless there may be more of them than stay.
+NATIVE = 4
 
 
 def licensed_pairs(passed: DataFrame) -> DataFrame:
@@ -53,8 +55,9 @@ def _orders(labels: list[str], licence: set[str] | None, seed: int, sent_id: str
 def permutations(passed: DataFrame, licence: list[str] | None, cap: int = 99, seed: int = 42) -> DataFrame:
     """Add perms: all orders but the given one, in index order, whose adjacent pairs are licensed.
 
-    Up to NATIVE constituents the orders grow in array functions; more are enumerated or
-    sampled per sentence in Arrow batches and cut to ``cap`` there.
+    Up to NATIVE constituents the orders grow in array functions; more, and those of which over
+    ``cap`` orders might be left, are enumerated or sampled per sentence in Arrow batches and
+    cut to ``cap`` there by the sentence's own draw.
     """
     # A sentence grows into many rows: few input files must not mean few tasks.
     d = settled(passed.repartition("sent_id"), _d=deprels())
@@ -73,23 +76,21 @@ def permutations(passed: DataFrame, licence: list[str] | None, cap: int = 99, se
             yield pd.Series([_orders(list(x), known, seed, i, cap) for x, i in zip(labels, ids, strict=True)])
 
     d = d.withColumn("n", F.size("constituents"))
-    short = d.where(f"n between 1 and {NATIVE}")
+    native = max((n for n in range(NATIVE + 1) if math.factorial(n) - 1 <= cap), default=0)
+    short = d.where(f"n between 1 and {native}")
     short = settled(short, perms=grown)
-    long = d.where(f"n > {NATIVE}").withColumn("perms", sampled("_d", "sent_id"))
+    long = d.where(f"n > {native}").withColumn("perms", sampled("_d", "sent_id"))
     return short.unionByName(long).drop("_d", "_l", "n")
 
 
 def generate(passed: DataFrame, licence: list[str] | None, max_variants: int = 99, seed: int = 42) -> DataFrame:
     """One row per variant: doc_id, k, Sent_ID, Variant_ID, v, perm, Reference_Sentence, Variant_Sentence, n.
 
-    Over ``max_variants`` orders, up to NATIVE constituents those with the smallest
-    md5 of sentence id and order stay; of more, a draw seeded by the sentence id. ``n`` is the sentence's number of variants.
+    Of over ``max_variants`` orders a draw seeded by the sentence id stays. ``n`` is the sentence's number of variants.
     """
     if max_variants < 1:
         raise ValueError("max_variants must be at least 1")
     p = permutations(passed, licence, max_variants, seed)
-    p = settled(p, perms=f"""if(size(perms) <= {max_variants}, perms,
-        array_sort(transform(slice(array_sort(transform(perms, x -> named_struct('m', md5(concat(sent_id, ':', array_join(transform(x, y -> cast(y as string)), ','))), 'x', x))), 1, {max_variants}), s -> s.x)))""")
     p = settled(p, _ids="transform(flatten(constituents), t -> t.id)")
     p = settled(p, prefix="filter(tokens, t -> t.id < root_id and not array_contains(_ids, t.id))", suffix="filter(tokens, t -> t.id >= root_id and not array_contains(_ids, t.id))")
     rows = p.select("doc_id", "k", "sent_id", "tokens", "root_id", "constituents", "prefix", "suffix", F.size("perms").alias("n"), F.posexplode("perms").alias("v0", "perm"))
@@ -102,7 +103,7 @@ def generate(passed: DataFrame, licence: list[str] | None, max_variants: int = 9
 def labelled(variants: DataFrame) -> DataFrame:
     """Add ML_Label, alternating 1, 0, 1, ... inside every document in corpus order.
 
-    The running offset is kept per document, so no task numbers the corpus.
+    It starts anew with every document, so no task numbers the corpus.
     """
     w = Window.partitionBy("doc_id").orderBy("k", "v")
     return variants.withColumn("ML_Label", (F.row_number().over(w) % 2).cast("int"))

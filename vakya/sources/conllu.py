@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +32,44 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of CoNLL-U files: split at blank lines by the reader, so a file of any size is read in parts.
+    """Sentences of CoNLL-U files: split at empty lines by the reader, so a file of any size is read in parts.
+
+    Lines may end with CR LF, and blank lines hold blanks: parts are split again
+    at those. ``k`` orders the sentences of a file, whose path is ``doc_id``.
+    """
+    parts = spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split("value", r"\r?\n[ \t\r]*\n")).alias("block"))
+    blocks = parts.select("file", F.monotonically_increasing_id().alias("k"), F.regexp_replace("block", r"^[ \t\r\n]+|[\r\n]+$|\r(?=\n)", "").alias("block"))
+    return parse_blocks(blocks.where("block <> ''").select("file", "k", "block")).select(F.col("file").alias("doc_id"), "*")
+
+
+def load_input(spark: SparkSession, source: str, parser: Callable[[str], str] | None = None) -> DataFrame:
+    """Sentences of a ``.conllu`` file, a ``.txt`` file of one sentence a line, or of ``source`` itself.
 
-    ``k`` orders the sentences of a file.
+    Text goes through ``parser``, which makes CoNLL-U of a sentence, in Arrow batches. Raises
+    ValueError for a blank source, for text without a parser and where nothing is parsed,
+    FileNotFoundError where a file is missing.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("k"), F.regexp_replace("value", r"^\n+|\n+$", "").alias("block"))
-    return parse_blocks(blocks.where("block <> ''").select("file", "k", "block"))
+    from pyspark.errors import AnalysisException
+
+    if not source or not source.strip():
+        raise ValueError("the input is blank")
+    try:
+        if source.endswith(".conllu"):
+            found = read_conllu(spark, source)
+        else:
+            if parser is None:
+                raise ValueError("text needs a parser")
+            lines = read_lines(spark, source) if source.endswith(".txt") else spark.createDataFrame([("", 0, source.strip())], "file string, k bigint, text string")
+            made = F.pandas_udf(lambda t: t.map(parser), "string")
+            found = parse_blocks(lines.select("file", "k", made("text").alias("block"))).select(F.col("file").alias("doc_id"), "*")
+        empty = found.isEmpty()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(source) from e
+        raise
+    if empty:
+        raise ValueError("nothing was parsed")
+    return found
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

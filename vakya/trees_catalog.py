@@ -90,10 +90,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_TREES = SQL + """, tr as (select sent_id, '(S (none ' || string_agg('(' || upos || ' ' || form || ')', ' ' order by i) || '))' as tree from tok where id is not null group by sent_id)"""
+_TREES = SQL + """, leafs as (select sent_id, i, own, i >= r as verbal, chunked, '(' || upos || ' ' || form || ')' as leaf from tok where id is not null),
+nps as (select sent_id, own, '(' || case when own % 3 = 0 then own::varchar else 'NP' end || ' ' || string_agg(leaf, ' ' order by i) || ')' as np from leafs where chunked and not verbal group by sent_id, own),
+kids as (select sent_id, string_agg(np, ' ' order by own) as kids from nps group by sent_id),
+tr as (select sent_id, '(S (none ' || string_agg(leaf, ' ' order by i) || '))' as tree from leafs where not chunked group by sent_id
+    union all select sent_id, '(S (VGF ' || string_agg(leaf, ' ' order by i) || coalesce(' ' || any_value(kids), '') || '))' from leafs left join kids using (sent_id) where chunked and verbal group by sent_id)"""
 _LEAVES = r"regexp_extract_all(tree, ' ([^ ()]+)\)', 1)"
-_SIGNATURE = ("case when regexp_matches(form, '^[A-Z]') then '!unk!cap' when regexp_matches(form, '[0-9]') then '!unk!num' "
-              + " ".join(f"when ends_with(form, '{s}') then '!unk!{s}'" for s in grammar.SUFFIXES) + " else '!unk!' end")
+_SIGNATURE = ("case " + " ".join(f"when ends_with(form, '{s}') then '!unk!{s}'" for s in grammar.SUFFIXES)
+              + " when regexp_matches(form, '^[A-Z]') then '!unk!cap' when regexp_matches(form, '^[0-9]') then '!unk!num' else '!unk!' end")
 
 
 def oracle_sql() -> dict[str, str]:
