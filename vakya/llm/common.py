@@ -44,12 +44,13 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFram
     """Inner join on ``key`` with ``right``, which has one row a key and, in ``n``, how many of ``left``'s ``rows`` have it.
 
     Keys with over a thousandth of the rows, of which there are fewer than a thousand, are
-    broadcast, and their rows are spread over the second join, where nothing meets them. So none
-    is gathered in a task; the others are joined by shuffling.
+    broadcast. Their rows go on with a hash of the whole row as key, so that none is gathered
+    in a task; should that hash be a key, the row keeps what it was given already. The others are
+    joined by shuffling.
     """
     found = F.struct(*[c for c in right.columns if c not in (key, "n")])
     hot = F.broadcast(right.where(F.col("n") * 1000 > rows).select(key, found.alias("_hot")))
-    rest = right.where(F.col("n") * 1000 <= rows).select(key, found.alias("_rest"), F.lit(0).alias("_spread"))
-    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20))).cast("int")
-    both = left.join(hot, key, "left").withColumn("_spread", spread).join(rest, [key, "_spread"], "left")
+    rest = right.where(F.col("n") * 1000 <= rows).select(F.col(key).alias("_key"), found.alias("_rest"))
+    spread = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*left.columns).cast(left.schema[key].dataType))
+    both = left.join(hot, key, "left").withColumn("_key", spread).join(rest, "_key", "left")
     return both.select(*left.columns, F.coalesce("_hot", "_rest").alias("_found")).where("_found is not null").select(*left.columns, "_found.*")
