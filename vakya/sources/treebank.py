@@ -14,7 +14,7 @@ from ..plans.barrier import settled
 from .conllu import TOKEN
 
 #: Words of a sentence at most; a longer stretch of text makes several.
-LONGEST = 40
+LONGEST = 20
 _CHUNKED = "h % 2 = 0 and h % 11 <> 0 and h % 13 <> 0 and h % 29 <> 0 and n >= 3"
 
 _OWN = "if(array_contains(heads, j + 1), j + 1, array_min(filter(heads, x -> x > j + 1)))"
@@ -48,8 +48,8 @@ def treebank(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 with s0 as (select doc_id, unnest(string_split_regex(text, '[.\n]+')) as s, generate_subscripts(string_split_regex(text, '[.\n]+'), 1) - 1 as k from documents),
 sa as (select doc_id, k, string_split(trim(regexp_replace(s, '[ \t\r]+', ' ', 'g')), ' ') as ws from s0),
-sb as (select doc_id, k, ws, unnest(range(0, (len(ws) - 1) // 40 + 1)) as c from sa where ws[1] <> ''),
-s2 as (select doc_id, k * 1000000 + c as k, ws[c * 40 + 1 : c * 40 + 40] as words, doc_id || '_s' || (k * 1000000 + c) as sent_id from sb),
+sb as (select doc_id, k, ws, unnest(range(0, (len(ws) - 1) // 20 + 1)) as c from sa where ws[1] <> ''),
+s2 as (select doc_id, k * 1000000 + c as k, ws[c * 20 + 1 : c * 20 + 20] as words, doc_id || '_s' || (k * 1000000 + c) as sent_id from sb),
 s3 as (select *, array_to_string(words, ' ') as text, len(words) as n, greatest(len(words) - 1, 1) as r, ('0x' || substr(md5(sent_id), 1, 7))::bigint as h from s2),
 t0 as (select doc_id, k, sent_id, text, n, r, h, unnest(words) as form, generate_subscripts(words, 1) as i from s3),
 t1 as (select *, i < r and (length(form) >= 5 or i = r - 1) as ch from t0),
