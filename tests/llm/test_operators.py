@@ -160,6 +160,22 @@ def test_nearest_neighbours(spark):
     assert hit >= 0.9 * 20 * len(found)
 
 
+def test_nearest_neighbours_send_nothing_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 4)
+    x = np.random.default_rng(5).standard_normal((900, 8)).astype(np.float32)
+    rows = [(i, (v if i % 3 else v[:6]).tolist()) for i, v in enumerate(x)]  # two lengths, many shards and parts of queries
+    out = hnsw.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 20 == 0, shard_rows=50)
+    found = {}
+    for r in sorted(out.collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+    for q in range(0, 900, 20):  # shards are smaller than a search is wide, so all is found
+        like = [i for i in range(900) if (i % 3 == 0) == (q % 3 == 0) and i != q]
+        s = {i: float(np.dot(*(np.asarray(rows[j][1], float) for j in (i, q)))) for i in like}
+        assert found[q] == list(enumerate(sorted(like, key=lambda i: (-s[i], i))[:20], 1))
+
+
 def test_decontamination_finds_paraphrases_and_leaves_clean_text(spark):
     rng = random.Random(6)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SHARD_ROWS, QUERY_ROWS = 8192, 4096
+SHARD_ROWS, QUERY_ROWS, PART_BLOCKS = 8192, 4096, 8
 LINKS, BUILD, EF, EXPAND = 32, 96, 128, 4
 
 
@@ -181,8 +181,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, ef: int = EF, shard_rows:
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     packs = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    jobs = packs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["shard", "dim"])
-    jobs = jobs.select("dim", "n", "x", "rows", "links", "ids", F.col("queries.vec_id").alias("query_ids"), F.flatten(F.col("queries.embedding")).alias("q"))
+    packs = packs.select("dim", F.col("queries.vec_id").alias("query_ids"), F.flatten(F.col("queries.embedding")).alias("q")).repartition(-(-blocks // PART_BLOCKS))
+    # Parts of the index meet parts of the queries where these are read. Copies of the queries for all
+    # shards are never made: Spark takes such copies for as small as the queries and broadcasts them.
+    jobs = index.join(packs.hint("shuffle_replicate_nl"), "dim").select("dim", "n", "x", "rows", "links", "ids", "query_ids", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
