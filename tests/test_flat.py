@@ -73,3 +73,7 @@ def scores(bank, how):
 def test_span_scores_right_branching(spark, odd, bank):
     g = gold(bank)
     same(spark, odd, "span_scores_right_branching", metrics.precision_recall(trees.span_scores(trees.span_table(g), trees.span_table(trees.rewritten(g, "right_branching")), labelled=False)))
+
+
+def test_bracket_difference(spark, odd, bank):
+    same(spark, odd, "bracket_difference", evaluation.randomisation_test(scores(bank, "right_branching"), scores(bank, "binary"), iterations=1000), 2)
