@@ -77,3 +77,7 @@ def test_span_scores_right_branching(spark, odd, bank):
 
 def test_bracket_difference(spark, odd, bank):
     same(spark, odd, "bracket_difference", evaluation.randomisation_test(scores(bank, "right_branching"), scores(bank, "binary"), iterations=1000), 2)
+
+
+def test_bracket_summary(spark, odd, bank):
+    same(spark, odd, "bracket_summary", evaluation.bracket_summary(scores(bank, "right_branching")))

@@ -42,12 +42,20 @@ def bracket_scores(gold: DataFrame, test: DataFrame, lengths: DataFrame) -> Data
     return out.withColumns({"recall": share("gold", "produced"), "precision": share("produced", "gold")})
 
 
-def bracket_summary(scores: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
-    """Two rows, ``all`` and ``short``: recall, precision, F, complete matches and crossing rates of sentences."""
+def bracket_summary(scores: DataFrame, cutoff: int = CUTOFF, n: str | None = None) -> DataFrame:
+    """Two rows, ``all`` and ``short``: recall, precision, F, complete matches and crossing rates of sentences.
+
+    A row stands for one sentence, or for as many as its column ``n`` says.
+    """
+    scores = scores.withColumn("_n", F.lit(1) if n is None else F.col(n))
     both = scores.withColumn("part", F.explode(F.when(F.col("words") <= cutoff, F.array(F.lit("all"), F.lit("short"))).otherwise(F.array(F.lit("all")))))
-    s = both.groupBy("part").agg(F.count("*").alias("sentences"), *[F.sum(c).alias(c) for c in ("gold", "produced", "matched")],
-                                 F.avg(F.expr("cast(matched = gold and matched = produced as int)")).alias("complete"), F.avg("crossing").alias("average_crossing"),
-                                 F.avg(F.expr("cast(crossing = 0 as int)")).alias("no_crossing"), F.avg(F.expr("cast(crossing <= 2 as int)")).alias("two_or_less_crossing"))
+
+    def mean(x: str):
+        return F.sum(F.expr(f"({x}) * _n")) / F.sum("_n")
+
+    s = both.groupBy("part").agg(F.sum("_n").alias("sentences"), *[F.sum(F.col(c) * F.col("_n")).alias(c) for c in ("gold", "produced", "matched")],
+                                 mean("cast(matched = gold and matched = produced as int)").alias("complete"), mean("crossing").alias("average_crossing"),
+                                 mean("cast(crossing = 0 as int)").alias("no_crossing"), mean("cast(crossing <= 2 as int)").alias("two_or_less_crossing"))
     rates = {"recall": F.try_divide("matched", "gold"), "precision": F.try_divide("matched", "produced"), "f1": F.try_divide(2 * F.col("matched"), F.col("gold") + F.col("produced"))}
     return s.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in rates.items()})
 
