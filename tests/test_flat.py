@@ -81,3 +81,9 @@ def test_bracket_difference(spark, odd, bank):
 
 def test_bracket_summary(spark, odd, bank):
     same(spark, odd, "bracket_summary", evaluation.bracket_summary(scores(bank, "right_branching")))
+
+
+def test_pcfg_heads(spark, odd, bank):
+    want = grammar.head_model(grammar.pcfg(gold(bank)))
+    made = __spark_entry__.queries()["pcfg_heads"](spark, odd)
+    assert rows(made) == rows(want) and "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()

@@ -62,7 +62,11 @@ def normalised(counts: DataFrame, by: tuple[str, ...] = ("parent",), n: str = "n
 
 def pcfg(trees: DataFrame, unknown_at_most: int = 1) -> DataFrame:
     """Relative-frequency grammar of trees."""
-    return normalised(with_unknown(rule_counts(trees), unknown_at_most)).select("kind", "parent", "a", "b", "p")
+    return pcfg_of_counts(rule_counts(trees), unknown_at_most)
+
+
+def pcfg_of_counts(counts: DataFrame, unknown_at_most: int = 1) -> DataFrame:
+    return normalised(with_unknown(counts, unknown_at_most)).select("kind", "parent", "a", "b", "p")
 
 
 def head_model(rules: DataFrame) -> DataFrame:
