@@ -87,3 +87,10 @@ def test_pcfg_heads(spark, odd, bank):
     want = grammar.head_model(grammar.pcfg(gold(bank)))
     made = __spark_entry__.queries()["pcfg_heads"](spark, odd)
     assert rows(made) == rows(want) and "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pcfg_rules(spark, odd, bank):
+    want = grammar.without_unaries(grammar.pcfg(gold(bank)))
+    made = __spark_entry__.queries()["pcfg_rules"](spark, odd)
+    # Counts are read back, not made again by every reader.
+    assert rows(made) == rows(want) and "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
