@@ -94,3 +94,7 @@ def test_pcfg_rules(spark, odd, bank):
     made = __spark_entry__.queries()["pcfg_rules"](spark, odd)
     # Counts are read back, not made again by every reader.
     assert rows(made) == rows(want) and "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unknown_signatures(spark, odd, bank):
+    same(spark, odd, "unknown_signatures", grammar.rare_to_signature(words(bank), 3).groupBy("word").agg(F.count("*").alias("n")))

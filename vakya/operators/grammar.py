@@ -29,6 +29,13 @@ def rare_to_signature(words: DataFrame, at_most: int, word: str = "word") -> Dat
     return words.join(n, word).withColumn(word, F.when(rare, suffix_signature(word)).otherwise(F.col(word))).drop("_n")
 
 
+def signature_counts(counts: DataFrame, at_most: int, word: str = "word", n: str = "n") -> DataFrame:
+    """word and n of ``rare_to_signature``'s words, from counts of words in parts of a corpus: no word meets its count in a join."""
+    whole = counts.groupBy(word).agg(F.sum(n).alias(n))
+    rare = (F.col(n) <= at_most) & ~F.col(word).startswith("*")
+    return whole.groupBy(F.when(rare, suffix_signature(word)).otherwise(F.col(word)).alias(word)).agg(F.sum(n).alias(n))
+
+
 def rule_counts(trees: DataFrame) -> DataFrame:
     """kind, parent, a, b and count over binarised trees; broken trees have no rules."""
 
