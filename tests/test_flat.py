@@ -98,3 +98,9 @@ def test_pcfg_rules(spark, odd, bank):
 
 def test_unknown_signatures(spark, odd, bank):
     same(spark, odd, "unknown_signatures", grammar.rare_to_signature(words(bank), 3).groupBy("word").agg(F.count("*").alias("n")))
+
+
+def test_tree_operations(spark, odd, bank):
+    t = tagged(bank)
+    want = [recipes.operations_only(t, level).select(F.lit(level).alias("level"), "sent_id") for level in recipes.OPERATIONS]
+    same(spark, odd, "tree_operations", want[0].union(want[1]).union(want[2]).union(want[3]))

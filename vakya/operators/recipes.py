@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def operations_only(trees: DataFrame, level: str, tree: str = "tree") -> DataFra
     return trees
 
 
+def operation_levels(trees: DataFrame, tree: str = "tree") -> DataFrame:
+    """A row for each level of OPERATIONS that a tree is fit for, with its name; every tree is read once."""
+    kept = [F.when(reduce(Column.__and__, [~F.col(tree).rlike(p) for p in patterns]), F.lit(level)) for level, patterns in OPERATIONS.items()]
+    return trees.withColumn("level", F.explode(F.array_compact(F.array(*kept))))
+
+
 def marked_preterminals(tree: str = "tree") -> Column:
     """Preterminals marked, and labels with commas and colons renamed."""
     marked = F.regexp_replace(tree, r"\(([^() ]*) ([^() ]*)\)", f"($1{PRETERMINAL} $2)")
