@@ -108,3 +108,7 @@ def test_tree_operations(spark, odd, bank):
 
 def test_tree_text(spark, odd, bank):
     same(spark, odd, "tree_text", chunks(bank).select("sent_id", trees.unlabel().alias("unlabelled"), trees.mask_leaves().alias("masked"), trees.drop_label("tree", "PSP").alias("without_psp"), F.array_join(trees.leaves(), " ").alias("words")))
+
+
+def test_tree_chunks(spark, odd, bank):
+    same(spark, odd, "tree_chunks", chunks(bank))
