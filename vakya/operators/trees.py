@@ -51,7 +51,8 @@ def word_counts(trees: DataFrame, tree: str = "tree") -> DataFrame:
 
 def lexicon_counts(trees: DataFrame, tree: str = "tree") -> DataFrame:
     pair = F.explode(F.regexp_extract_all(tree, F.lit(r"\(([^ ()]+ [^ ()]+)\)"), 1))
-    return trees.select(pair.alias("p")).groupBy(F.split("p", " ")[0].alias("pos"), F.split("p", " ")[1].alias("word")).agg(F.count("*").alias("n"))
+    counts = trees.select(pair.alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    return counts.select(F.split("p", " ")[0].alias("pos"), F.split("p", " ")[1].alias("word"), "n")
 
 
 def chunk_trees(sentences: DataFrame) -> DataFrame:
