@@ -117,3 +117,7 @@ def test_tree_chunks(spark, odd, bank):
 def test_lexicon_counts(spark, odd, bank):
     pair = F.explode(F.regexp_extract_all("tree", F.lit(r"\(([^ ()]+ [^ ()]+)\)"), 1))
     same(spark, odd, "lexicon_counts", chunks(bank).select(pair.alias("p")).groupBy(F.split("p", " ")[0].alias("pos"), F.split("p", " ")[1].alias("word")).agg(F.count("*").alias("n")))
+
+
+def test_tree_max_words(spark, odd, bank):
+    same(spark, odd, "tree_max_words", trees.max_words(chunks(bank), 10))
