@@ -121,3 +121,9 @@ def test_lexicon_counts(spark, odd, bank):
 
 def test_tree_max_words(spark, odd, bank):
     same(spark, odd, "tree_max_words", trees.max_words(chunks(bank), 10))
+
+
+def test_filter_summary(spark, odd, classified, tmp_path):
+    same(spark, odd, "filter_summary", cascade.summary(classified))
+    spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert tuple(__spark_entry__.queries()["filter_summary"](spark, str(tmp_path)).first()) == (0, 0, 0, 0.0, 0.0, 0.0)

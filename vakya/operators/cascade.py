@@ -106,6 +106,17 @@ def summary(classified: DataFrame) -> DataFrame:
     a = classified.agg(
         F.count("*").alias("total_input"), F.count(F.when(passed, 1)).alias("total_passed"), F.count("stage").alias("total_rejected"),
         F.avg(F.when(passed, F.expr("size(filter(tokens, t -> t.id is not null))"))).alias("len"), F.avg(F.when(passed, F.size("constituents"))).alias("phr"))
+    return _rounded(a)
+
+
+def rates(totals: DataFrame) -> DataFrame:
+    """The summary from sums over parts of a corpus: sentences in all and passed, words and phrases of passed ones."""
+    t = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "passed", "words", "phrases")])
+    return _rounded(t.select(F.col("total").alias("total_input"), F.col("passed").alias("total_passed"), (F.col("total") - F.col("passed")).alias("total_rejected"),
+                             F.try_divide("words", "passed").alias("len"), F.try_divide("phrases", "passed").alias("phr")))
+
+
+def _rounded(a: DataFrame) -> DataFrame:
     return a.select("total_input", "total_passed", "total_rejected",
                     F.coalesce(F.bround(F.try_divide(F.col("total_passed"), F.col("total_input")), 4), F.lit(0.0)).alias("pass_rate"),
                     F.coalesce(F.bround("len", 2), F.lit(0.0)).alias("avg_sentence_length"), F.coalesce(F.bround("phr", 2), F.lit(0.0)).alias("avg_phrase_count"))
