@@ -127,3 +127,8 @@ def test_filter_summary(spark, odd, classified, tmp_path):
     same(spark, odd, "filter_summary", cascade.summary(classified))
     spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert tuple(__spark_entry__.queries()["filter_summary"](spark, str(tmp_path)).first()) == (0, 0, 0, 0.0, 0.0, 0.0)
+
+
+def test_filter_counts(spark, odd, classified):
+    made = __spark_entry__.queries()["filter_counts"](spark, odd)
+    assert rows(made) == rows(cascade.filter_counts(classified)) and "Generate" not in made._jdf.queryExecution().executedPlan().toString()

@@ -96,8 +96,13 @@ def rendered(features: DataFrame) -> DataFrame:
 
 def filter_counts(classified: DataFrame) -> DataFrame:
     """Rejections of every stage in order, zeros included."""
-    names = classified.sparkSession.createDataFrame([(k, n) for k, n in enumerate(STAGES, 1)], "stage int, filter string")
-    return names.join(classified.groupBy("stage").agg(F.count("*").alias("n")), "stage", "left").select("stage", "filter", F.coalesce("n", F.lit(0)).alias("rejected"))
+    return named_counts(classified.groupBy("stage").agg(F.count("*").alias("n")))
+
+
+def named_counts(counts: DataFrame) -> DataFrame:
+    """Every stage's name and count, from stage and n; stages without a row have 0."""
+    names = counts.sparkSession.createDataFrame([(k, n) for k, n in enumerate(STAGES, 1)], "stage int, filter string")
+    return names.join(counts, "stage", "left").select("stage", "filter", F.coalesce("n", F.lit(0)).alias("rejected"))
 
 
 def summary(classified: DataFrame) -> DataFrame:
