@@ -132,3 +132,7 @@ def test_filter_summary(spark, odd, classified, tmp_path):
 def test_filter_counts(spark, odd, classified):
     made = __spark_entry__.queries()["filter_counts"](spark, odd)
     assert rows(made) == rows(cascade.filter_counts(classified)) and "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leaf_word_counts(spark, odd, bank):
+    same(spark, odd, "leaf_word_counts", trees.word_counts(chunks(bank)))
