@@ -145,3 +145,8 @@ def test_filter_rejected(spark, odd, classified):
 
 def test_licensed_bigrams(spark, odd, classified):
     same(spark, odd, "licensed_bigrams", variants.licensed_pairs(classified.where("stage is null")))
+
+
+def test_tree_tags(spark, odd, bank):
+    t = tagged(bank).withColumn("marked", recipes.marked_preterminals())
+    same(spark, odd, "tree_tags", t.select("sent_id", recipes.without_operators().alias("plain"), recipes.without_scopes().alias("unscoped"), "marked", recipes.unmarked_preterminals("marked").alias("unmarked")))
