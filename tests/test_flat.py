@@ -173,3 +173,9 @@ def test_rule_conversion(spark, odd, bank):
 
 def test_ending_signatures(spark, odd, bank):
     same(spark, odd, "ending_signatures", words(bank).groupBy(lines.ending_signature().alias("signature")).agg(F.count("*").alias("n")))
+
+
+def test_tree_validity(spark, odd, bank):
+    n = F.length("tree")
+    t = tagged(bank).withColumn("tree", F.when(n % 5 == 0, F.replace("tree", F.lit("(S "), F.lit("(S (()) "))).otherwise(F.when(n % 7 == 0, F.substring("tree", 2, 1 << 30)).otherwise(F.col("tree"))))
+    same(spark, odd, "tree_validity", recipes.valid_trees(t))
