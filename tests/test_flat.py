@@ -1,12 +1,15 @@
 """Queries over arrays of many sentences: the same rows as the operators give, from one reading of the documents and without joins."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from vakya.operators import cascade, evaluation, grammar, lines, metrics, recipes, trees, variants
+from vakya.operators import cascade, evaluation, grammar, lines, metrics, orders, recipes, scorers, trees, variants
+from vakya.plans.barrier import settled
 from vakya.recipes_catalog import TAGS
 from vakya.sources.treebank import treebank
 
@@ -179,3 +182,22 @@ def test_tree_validity(spark, odd, bank):
     n = F.length("tree")
     t = tagged(bank).withColumn("tree", F.when(n % 5 == 0, F.replace("tree", F.lit("(S "), F.lit("(S (()) "))).otherwise(F.when(n % 7 == 0, F.substring("tree", 2, 1 << 30)).otherwise(F.col("tree"))))
     same(spark, odd, "tree_validity", recipes.valid_trees(t))
+
+
+def reordered(bank, classified):
+    passed = classified.where("stage is null")
+    licence = sorted(f"{r['a']}\t{r['b']}" for r in variants.licensed_pairs(passed).collect())
+    return variants.labelled(variants.generate(passed, licence))
+
+
+def test_variant_pairs(spark, odd, bank, classified):
+    same(spark, odd, "variant_pairs", reordered(bank, classified))
+
+
+def test_orders_are_drawn_as_one_by_one():
+    rng = random.Random(5)
+    for t in range(40):
+        n, cap = rng.choice([2, 4, 5, 7, 8, 9, 10, 13]), rng.choice([99, 5, 600])
+        labels, licence = [rng.choice("abc") for _ in range(n)], {f"{a}\t{b}" for a in "abc" for b in "abc" if t % 2 or rng.random() < 0.9}
+        ok = np.array([[a == b or f"{x}\t{y}" in licence for b, y in enumerate(labels)] for a, x in enumerate(labels)])
+        assert orders.licensed_orders(ok, 42, f"s{t}", cap).tolist() == variants._orders(labels, licence, 42, f"s{t}", cap)
