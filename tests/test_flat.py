@@ -201,3 +201,9 @@ def test_orders_are_drawn_as_one_by_one():
         labels, licence = [rng.choice("abc") for _ in range(n)], {f"{a}\t{b}" for a in "abc" for b in "abc" if t % 2 or rng.random() < 0.9}
         ok = np.array([[a == b or f"{x}\t{y}" in licence for b, y in enumerate(labels)] for a, x in enumerate(labels)])
         assert orders.licensed_orders(ok, 42, f"s{t}", cap).tolist() == variants._orders(labels, licence, 42, f"s{t}", cap)
+
+
+def test_score_dependency_length(spark, odd, bank, classified):
+    text = "array_join(transform({0}, x -> cast(x as string)), ',') as {0}"
+    want = scorers.dependency_length(reordered(bank, classified)).selectExpr("Sent_ID", "Variant_ID", text.format("Ref_Features"), text.format("Var_Features"), "Delta_DL")
+    same(spark, odd, "score_dependency_length", want)
