@@ -207,3 +207,9 @@ def test_score_dependency_length(spark, odd, bank, classified):
     text = "array_join(transform({0}, x -> cast(x as string)), ',') as {0}"
     want = scorers.dependency_length(reordered(bank, classified)).selectExpr("Sent_ID", "Variant_ID", text.format("Ref_Features"), text.format("Var_Features"), "Delta_DL")
     same(spark, odd, "score_dependency_length", want)
+
+
+def test_score_information_status(spark, odd, bank, classified):
+    want = scorers.information_status(reordered(bank, classified), bank)
+    assert {r["IS_Reference"] for r in want.select("IS_Reference").distinct().collect()} >= {0, 1}
+    same(spark, odd, "score_information_status", want)
