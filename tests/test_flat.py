@@ -4,11 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from vakya.operators import cascade, evaluation, grammar, lines, metrics, orders, recipes, scorers, trees, variants
+from vakya.operators import cascade, evaluation, grammar, lines, metrics, orders, recipes, scorers, surprisal, trees, variants
 from vakya.plans.barrier import settled
 from vakya.recipes_catalog import TAGS
 from vakya.sources.treebank import treebank
@@ -220,3 +221,25 @@ def test_recovered_orders(spark, odd, classified):
     p = settled(p, forms="concat(flatten(reverse(blocks)), transform(filter(tokens, t -> t.id >= root_id), t -> t.form))", blocks="blocks")
     order = F.array_join(F.transform(recipes.recovered_permutation("forms", "blocks"), lambda x: x.cast("string")), ",")
     same(spark, odd, "recovered_orders", p.select("sent_id", order.alias("perm"), F.expr(recipes.block_start("forms", "blocks[0]")).cast("int").alias("first_start")))
+
+
+def test_sentence_surprisal(spark, odd, bank):
+    rules = grammar.without_unaries(grammar.pcfg(gold(bank)))
+    texts = bank.select(F.col("text").alias("sent_id")).distinct().withColumn("words", F.split("sent_id", " "))
+    bits = surprisal.imputed(surprisal.parse(texts, rules, trees=False).select("sent_id", F.explode("bits").alias("bits")))
+    want = bits.groupBy(F.col("sent_id").alias("Sentence")).agg(F.round(F.sum("bits"), 4).alias("bits"), F.count("*").alias("n"))
+    made = __spark_entry__.queries()["sentence_surprisal"](spark, odd)
+    assert rows(made) == rows(want)
+    # A sentence comes back by a hash, in one row; no window over its words, no text as key of a row a word.
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(sent_id" not in plan
+
+
+def test_surprisals_of_many_sentences_are_those_of_one(spark):
+    chart = surprisal.Chart(pd.DataFrame([("Cr", "T", "S", "-", 1.0), ("CC", "S", "A", "B", 0.7), ("CC", "S", "A", "S", 0.3)], columns=["kind", "parent", "a", "b", "p"]))
+    a, b, none = [("A", 0.6)], [("A", 0.4), ("B", 1.0)], []
+    found = chart.surprisals(np.stack([chart._words(x) for x in ([a, a, b], [b, b, b], [a, none, b])]))
+    # a a b and b b b have one tree each; after a word without a label nothing goes on.
+    assert abs(found[0].sum() + np.log2(0.6 * 0.6 * 0.3 * 0.7)) < 1e-9 and abs(found[1].sum() + np.log2(0.4 * 0.4 * 0.3 * 0.7)) < 1e-9
+    assert found[2][1] == np.inf and np.isnan(found[2][2])
+    assert chart.surprisal([]) == []
