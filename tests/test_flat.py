@@ -83,6 +83,20 @@ def test_bracket_difference(spark, odd, bank):
     same(spark, odd, "bracket_difference", evaluation.randomisation_test(scores(bank, "right_branching"), scores(bank, "binary"), iterations=1000), 2)
 
 
+def test_coins_are_those_of_the_plain_mixing_and_few_at_once():
+    ids, mask = np.array([0, 1, 2**63 + 5, 2**64 - 1], np.uint64), 2**64 - 1
+
+    def coin(x, i):
+        z = (x + (i + 1) * 0x9E3779B97F4A7C15) & mask
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+        return bool((z ^ (z >> 31)) & 1)
+
+    assert evaluation._coins(ids, 700, 300).tolist() == [[coin(int(x), i) for i in range(700, 1000)] for x in ids]
+    # A block's numbers, 8 bytes each, fit a cache of half a megabyte.
+    assert evaluation.BLOCK**2 * 8 <= 1 << 19
+
+
 def test_bracket_summary(spark, odd, bank):
     same(spark, odd, "bracket_summary", evaluation.bracket_summary(scores(bank, "right_branching")))
 
